@@ -277,3 +277,246 @@ SELECT keyword, (rn - 1)::BIGINT AS rank, doc_id, score FROM (
 WHERE rn <= {fx.SEARCH_TOP_N}"""))
 def q_batch_search(spark, sf_dir):
     return se.batch_search(_post(spark, sf_dir), _docs(spark, sf_dir), fx.keyword_list(spark), fx.SEARCH_TOP_N)
+
+# ============================================================ coverage and keyword reports
+
+from ..operators import classify as nb  # noqa: E402
+from ..operators import reports as rp  # noqa: E402
+from ..operators import similar as sm  # noqa: E402
+
+_KW_IDX_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}::BIGINT, {sql_str(k.lower())})" for i, k in enumerate(fx.KEYWORDS) if k) + ") AS v(kw_idx, keyword)"
+
+_FIRST_COVER_SQL = """
+first AS (SELECT doc_id, arg_min(p.term, struct_pack(k := -d.df, t := p.term)) AS term
+          FROM {post} p JOIN {dfs} d ON d.term = p.term GROUP BY doc_id),
+newc AS (SELECT term, count(*)::BIGINT AS n_new FROM first GROUP BY term)"""
+
+
+@query("term_distribution", with_corpus(", " + _FIRST_COVER_SQL.format(post="post", dfs="dfs") + """
+SELECT row_number() OVER w::BIGINT AS rank, dfs.term, dfs.df, coalesce(n_new, 0)::BIGINT AS n_new,
+       (sum(coalesce(n_new, 0)) OVER w)::BIGINT AS covered,
+       round(sum(coalesce(n_new, 0)) OVER w / (SELECT n FROM ndocs), 6) AS covered_share
+FROM dfs LEFT JOIN newc ON newc.term = dfs.term
+WINDOW w AS (ORDER BY dfs.df DESC, dfs.term ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+def q_term_distribution(spark, sf_dir):
+    r = rp.term_distribution(_post(spark, sf_dir), _docs(spark, sf_dir))
+    return r.withColumn("covered_share", _r6(F.col("covered_share")))
+
+
+_LISTED_SQL = f""",
+lpost AS (SELECT * FROM post WHERE term IN (SELECT keyword FROM ({KW_SQL}))),
+ldfs AS (SELECT term, count(*)::BIGINT AS df FROM lpost GROUP BY term),""" + _FIRST_COVER_SQL.format(post="lpost", dfs="ldfs")
+
+
+@query("keyword_summary_report", with_corpus(_LISTED_SQL + """
+SELECT row_number() OVER w::BIGINT AS rank, ldfs.term AS keyword, ldfs.df AS n_reports,
+       coalesce(n_new, 0)::BIGINT AS n_new_covered,
+       round(sum(coalesce(n_new, 0)) OVER w / (SELECT n FROM ndocs), 6) AS pct_total_covered
+FROM ldfs LEFT JOIN newc ON newc.term = ldfs.term
+WINDOW w AS (ORDER BY ldfs.df DESC, ldfs.term ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+def q_keyword_summary_report(spark, sf_dir):
+    r = rp.keyword_summary_report(_post(spark, sf_dir), _docs(spark, sf_dir), fx.keyword_list(spark))
+    return r.withColumn("pct_total_covered", _r6(F.col("pct_total_covered")))
+
+
+@query("keyword_report_totals", with_corpus(f"""
+SELECT (SELECT count(DISTINCT term) FROM post WHERE term IN (SELECT keyword FROM ({KW_SQL})))::BIGINT AS matched_keywords,
+       (SELECT n FROM ndocs)::BIGINT AS total_reports"""))
+def q_keyword_report_totals(spark, sf_dir):
+    return rp.keyword_report_totals(_post(spark, sf_dir), _docs(spark, sf_dir), fx.keyword_list(spark))
+
+
+_DETAIL_SQL = f"""
+t AS (SELECT doc_id AS id, {title_sql('text')} AS title FROM documents),
+kw AS ({_KW_IDX_SQL}),
+detail AS (SELECT t.id, t.title, kw.keyword FROM t JOIN kw ON contains(lower(t.title), kw.keyword))"""
+
+
+@query("keyword_detail_report", f"WITH {_DETAIL_SQL}\nSELECT id, title, keyword FROM detail")
+def q_keyword_detail_report(spark, sf_dir):
+    return rp.keyword_detail_report(fx.tickets(spark, sf_dir), fx.keyword_list(spark))
+
+
+@query("report_labels", f"""WITH {_DETAIL_SQL},
+lab AS (SELECT id, array_to_string(list_sort(list_distinct(list(keyword))), '|') AS labels FROM detail GROUP BY id)
+SELECT t.id, coalesce(lab.labels, '') AS labels FROM t LEFT JOIN lab ON lab.id = t.id""")
+def q_report_labels(spark, sf_dir):
+    t = fx.tickets(spark, sf_dir)
+    r = rp.report_labels(t, rp.keyword_detail_report(t, fx.keyword_list(spark)))
+    return r.select("id", F.array_join("labels", "|").alias("labels"))
+
+# ============================================================ co-occurrence and similarity
+
+
+M1_TERMS = ("from", "tion", "que", "der", "ouen", "erin", "ein", "qzxjv")
+_M1_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}::BIGINT, {sql_str(t)})" for i, t in enumerate(M1_TERMS)) + ") AS v(pos, term)"
+
+
+def _cooc_sql(tl_sql: str) -> str:
+    return f""",
+tl AS ({tl_sql}),
+r AS (SELECT p.doc_id, tl.pos FROM post p JOIN tl ON tl.term = p.term),
+cnt AS (SELECT a.pos AS pos_a, b.pos AS pos_b, count(*)::BIGINT AS n
+        FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.pos <= b.pos GROUP BY 1, 2),
+cooc AS (SELECT a.pos AS pos_a, a.term AS term_a, b.pos AS pos_b, b.term AS term_b,
+                coalesce(cnt.n, 0)::BIGINT AS n_docs
+         FROM tl a JOIN tl b ON a.pos <= b.pos LEFT JOIN cnt ON cnt.pos_a = a.pos AND cnt.pos_b = b.pos)"""
+
+
+@query("term_cooccurrence", with_corpus(_cooc_sql(_M1_SQL) + "\nSELECT * FROM cooc"))
+def q_term_cooccurrence(spark, sf_dir):
+    return sm.term_cooccurrence(_post(spark, sf_dir), fx.term_list(spark, M1_TERMS))
+
+
+_TOP20_SQL = f"""SELECT (row_number() OVER (ORDER BY df DESC, term) - 1)::BIGINT AS pos, term FROM dfs
+WHERE df::DOUBLE > {fx.TOP_CUTOFF} * (SELECT max(df) FROM dfs) OR df = (SELECT max(df) FROM dfs)
+ORDER BY df DESC, term LIMIT {fx.PAIRWISE_TOP_N}"""
+
+
+@query("top_term_cooccurrence", with_corpus(_cooc_sql(_TOP20_SQL) + "\nSELECT * FROM cooc"))
+def q_top_term_cooccurrence(spark, sf_dir):
+    return sm.top_term_cooccurrence(_post(spark, sf_dir), fx.PAIRWISE_TOP_N, fx.TOP_CUTOFF)
+
+
+@query("term_cooccurrence_all", with_corpus("""
+SELECT a.term AS term_a, b.term AS term_b, count(*)::BIGINT AS n_docs
+FROM post a JOIN post b ON a.doc_id = b.doc_id AND a.term <= b.term GROUP BY 1, 2"""))
+def q_term_cooccurrence_all(spark, sf_dir):
+    return sm.term_cooccurrence_all(_post(spark, sf_dir))
+
+
+@query("pairwise_cosine", with_corpus("""
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*)::BIGINT AS overlap,
+       round(count(*) / max(sqrt(a.doc_terms::DOUBLE) * sqrt(b.doc_terms::DOUBLE)), 6) AS cosine
+FROM post a JOIN post b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2"""))
+def q_pairwise_cosine(spark, sf_dir):
+    r = sm.pairwise_cosine(_post(spark, sf_dir))
+    return r.withColumn("cosine", _r6(F.col("cosine")))
+
+
+@query("cosine_of_docs", with_corpus(""",
+pairs AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+ov AS (SELECT pa.doc_a, pa.doc_b, count(*) AS ov FROM pairs pa
+       JOIN post x ON x.doc_id = pa.doc_a JOIN post y ON y.doc_id = pa.doc_b AND y.term = x.term GROUP BY 1, 2),
+nt AS (SELECT doc_id, max(doc_terms)::DOUBLE AS n FROM post GROUP BY doc_id)
+SELECT pairs.doc_a, pairs.doc_b, round(coalesce(ov.ov / (sqrt(na.n) * sqrt(nb.n)), 0.0), 6) AS cosine
+FROM pairs LEFT JOIN ov ON ov.doc_a = pairs.doc_a AND ov.doc_b = pairs.doc_b
+LEFT JOIN nt na ON na.doc_id = pairs.doc_a LEFT JOIN nt nb ON nb.doc_id = pairs.doc_b"""))
+def q_cosine_of_docs(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id")
+    pairs = d.select(F.col("doc_id").alias("doc_a")).join(
+        d.select(F.col("doc_id").alias("doc_b")), F.col("doc_b") == F.col("doc_a") + 1)
+    r = sm.cosine_of_docs(_post(spark, sf_dir), pairs)
+    return r.withColumn("cosine", _r6(F.col("cosine")))
+
+
+_M6_COLS = ", ".join(
+    f"coalesce(max(CASE WHEN pos_b = {i} THEN round(n_docs::DOUBLE, 3) END), 0.0) AS c{i:02d}"
+    for i in range(fx.PAIRWISE_TOP_N))
+
+
+@query("similarity_matrix_table", with_corpus(_cooc_sql(_TOP20_SQL) + f"""
+SELECT pos_a, term_a, {_M6_COLS} FROM cooc GROUP BY pos_a, term_a"""))
+def q_similarity_matrix_table(spark, sf_dir):
+    cells = sm.top_term_cooccurrence(_post(spark, sf_dir), fx.PAIRWISE_TOP_N, fx.TOP_CUTOFF)
+    return sm.similarity_matrix_table(cells.withColumnRenamed("n_docs", "value"), fx.PAIRWISE_TOP_N,
+                                      row_label="term_a")
+
+# ============================================================ Naive Bayes
+
+
+def _nb_sql(labelled_sql: str, target_sql: str) -> str:
+    """CTEs: cls(doc_id, class) from ``labelled_sql`` (doc_id, category); pred(doc_id, predicted)
+    for the documents of ``target_sql`` (doc_id)."""
+    return f""",
+cls AS (SELECT DISTINCT doc_id, unnest({analyze_sql('category')}) AS class FROM ({labelled_sql})),
+dd AS (SELECT count(DISTINCT doc_id)::DOUBLE AS d FROM cls),
+uu AS (SELECT count(*)::DOUBLE / count(DISTINCT doc_id) AS u FROM post),
+cs AS (SELECT class, count(DISTINCT doc_id)::BIGINT AS n_docs,
+              ln(count(DISTINCT doc_id)) - ln((SELECT d FROM dd)) AS log_prior,
+              ln((SELECT u FROM uu) * count(DISTINCT doc_id) + (SELECT d FROM dd)) AS log_den
+       FROM cls GROUP BY class),
+hits AS (SELECT c.class, p.term, count(*)::BIGINT AS hits FROM post p JOIN cls c ON c.doc_id = p.doc_id
+         GROUP BY c.class, p.term),
+tgt AS ({target_sql}),
+part AS (SELECT p.doc_id, h.class, sum(p.tf * ln(h.hits + 1.0)) AS s
+         FROM post p JOIN hits h ON h.term = p.term WHERE p.doc_id IN (SELECT doc_id FROM tgt)
+         GROUP BY p.doc_id, h.class),
+dl AS (SELECT doc_id, len(terms) AS n FROM tok WHERE doc_id IN (SELECT doc_id FROM tgt)),
+sc AS (SELECT dl.doc_id, cs.class, cs.log_prior - dl.n * cs.log_den + coalesce(part.s, 0) AS score
+       FROM dl CROSS JOIN cs LEFT JOIN part ON part.doc_id = dl.doc_id AND part.class = cs.class),
+pred AS (SELECT doc_id, class AS predicted FROM (
+           SELECT doc_id, class, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class) AS rn FROM sc)
+         WHERE rn = 1)"""
+
+
+_LANG_SQL = "SELECT doc_id, lang AS category FROM documents"
+_ALL_SQL = "SELECT doc_id FROM documents"
+
+
+def _lang_model(spark, sf_dir, post):
+    d = _docs(spark, sf_dir)
+    return nb.nb_train(post, d.select("doc_id", F.col("lang").alias("category")))
+
+
+@query("nb_train", with_corpus(_nb_sql(_LANG_SQL, _ALL_SQL) + """
+SELECT h.class, h.term, h.hits, cs.n_docs, round(cs.log_prior, 6) AS log_prior, round(cs.log_den, 6) AS log_den
+FROM hits h JOIN cs ON cs.class = h.class"""))
+def q_nb_train(spark, sf_dir):
+    m = _lang_model(spark, sf_dir, _post(spark, sf_dir))
+    return m.class_terms.join(m.classes, "class").select(
+        "class", "term", "hits", "n_docs", _r6(F.col("log_prior")).alias("log_prior"),
+        _r6(F.col("log_den")).alias("log_den"))
+
+
+@query("nb_classify", with_corpus(_nb_sql(_LANG_SQL, _ALL_SQL) + "\nSELECT doc_id, predicted FROM pred"))
+def q_nb_classify(spark, sf_dir):
+    post = _post(spark, sf_dir)
+    return nb.nb_classify(post, _docs(spark, sf_dir), _lang_model(spark, sf_dir, post)).select("doc_id", "predicted")
+
+
+_QUALITY_SQL = ("SELECT d.doc_id, l.quality::VARCHAR AS category FROM documents d "
+                "JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL")
+_UNLABELLED_SQL = ("SELECT doc_id FROM documents WHERE doc_id NOT IN "
+                   "(SELECT doc_id FROM labels WHERE quality IS NOT NULL)")
+
+
+@query("nb_label_unlabelled", with_corpus(_nb_sql(_QUALITY_SQL, _UNLABELLED_SQL) + "\nSELECT doc_id, predicted FROM pred"))
+def q_nb_label_unlabelled(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    labels = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("category"))
+    lab = d.select("doc_id").join(labels, "doc_id", "left")
+    return nb.nb_label_unlabelled(_post(spark, sf_dir), d, lab).select("doc_id", "predicted")
+
+
+_CATS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({sql_str(c)})" for c in fx.CATEGORIES) + ") AS v(c)"
+_CM_SQL = _nb_sql(_LANG_SQL, _ALL_SQL) + f""",
+cm AS (SELECT a.c AS actual, p.c AS predicted, count(x.doc_id)::BIGINT AS n
+       FROM ({_CATS_SQL}) a CROSS JOIN ({_CATS_SQL}) p
+       LEFT JOIN (SELECT pred.doc_id, lower(d.lang) AS actual, pred.predicted FROM pred
+                  JOIN documents d ON d.doc_id = pred.doc_id) x
+         ON x.actual = a.c AND x.predicted = p.c
+       GROUP BY 1, 2)"""
+
+
+def _lang_confusion(spark, sf_dir):
+    post = _post(spark, sf_dir)
+    d = _docs(spark, sf_dir)
+    pred = nb.nb_classify(post, d, _lang_model(spark, sf_dir, post))
+    return nb.confusion_matrix(pred, d.select("doc_id", F.col("lang").alias("category")), fx.CATEGORIES)
+
+
+@query("confusion_matrix", with_corpus(_CM_SQL + "\nSELECT * FROM cm"))
+def q_confusion_matrix(spark, sf_dir):
+    return _lang_confusion(spark, sf_dir)
+
+
+@query("accuracy_error", with_corpus(_CM_SQL + """
+SELECT sum(n)::BIGINT AS total, sum(CASE WHEN actual = predicted THEN n ELSE 0 END)::BIGINT AS correct,
+       CASE WHEN sum(n) = 0 THEN NULL ELSE sum(CASE WHEN actual = predicted THEN n ELSE 0 END) / sum(n) END AS accuracy,
+       CASE WHEN sum(n) = 0 THEN NULL ELSE sum(CASE WHEN actual <> predicted THEN n ELSE 0 END) / sum(n) END AS error_rate
+FROM cm"""))
+def q_accuracy_error(spark, sf_dir):
+    return nb.accuracy_error(_lang_confusion(spark, sf_dir))

@@ -53,10 +53,10 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_list(spark: SparkSession, words=KEYWORDS) -> DataFrame:
-    """(keyword) lower-cased, not trimmed, not de-duplicated; blank keywords
-    are dropped because they would match every title."""
-    df = spark.createDataFrame([(w,) for w in words], "keyword string")
-    return df.select(F.lower("keyword").alias("keyword")).where(F.col("keyword") != "")
+    """(kw_idx, keyword) lower-cased, not trimmed, not de-duplicated; blank
+    keywords are dropped because they would match every title."""
+    df = spark.createDataFrame(list(enumerate(words)), "kw_idx long, keyword string")
+    return df.select("kw_idx", F.lower("keyword").alias("keyword")).where(F.col("keyword") != "")
 
 
 def term_list(spark: SparkSession, words) -> DataFrame:
