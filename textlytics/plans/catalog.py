@@ -380,11 +380,17 @@ def q_top_term_cooccurrence(spark, sf_dir):
     return sm.top_term_cooccurrence(_post(spark, sf_dir), fx.PAIRWISE_TOP_N, fx.TOP_CUTOFF)
 
 
-@query("term_cooccurrence_all", with_corpus("""
-SELECT a.term AS term_a, b.term AS term_b, count(*)::BIGINT AS n_docs
-FROM post a JOIN post b ON a.doc_id = b.doc_id AND a.term <= b.term GROUP BY 1, 2"""))
+# Every pair of the whole vocabulary is computed; the registered report keeps
+# pairs seen together in at least M2_MIN_COUNT documents (the full pair table
+# is tens of millions of rows at sf0.01, too large to hand back).
+M2_MIN_COUNT = 20
+
+
+@query("term_cooccurrence_all", with_corpus(f"""
+SELECT * FROM (SELECT a.term AS term_a, b.term AS term_b, count(*)::BIGINT AS n_docs
+FROM post a JOIN post b ON a.doc_id = b.doc_id AND a.term <= b.term GROUP BY 1, 2) WHERE n_docs >= {M2_MIN_COUNT}"""))
 def q_term_cooccurrence_all(spark, sf_dir):
-    return sm.term_cooccurrence_all(_post(spark, sf_dir))
+    return sm.term_cooccurrence_all(_post(spark, sf_dir), M2_MIN_COUNT)
 
 
 @query("pairwise_cosine", with_corpus("""
@@ -520,3 +526,206 @@ SELECT sum(n)::BIGINT AS total, sum(CASE WHEN actual = predicted THEN n ELSE 0 E
 FROM cm"""))
 def q_accuracy_error(spark, sf_dir):
     return nb.accuracy_error(_lang_confusion(spark, sf_dir))
+
+# ============================================================ sources and sinks (round trips)
+
+from ..functions import columns as fc  # noqa: E402
+from ..plans import jobs  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as fl  # noqa: E402
+from ..sources import tables as tb  # noqa: E402
+from ..streaming import terms as stm  # noqa: E402
+
+
+@query("read_delimited_records", """
+SELECT doc_id::VARCHAR AS doc_id, text, lang, source FROM documents""")
+def q_read_delimited_records(spark, sf_dir):
+    path = scratch_path(spark, "records")
+    fl.write_delimited(_docs(spark, sf_dir).select("doc_id", "text", "lang", "source"), path)
+    return fl.read_delimited_records(spark, path)
+
+
+@query("union_sheets", f"""
+SELECT doc_id::VARCHAR AS doc_id, text, lang, CASE WHEN lang = 'es' THEN NULL ELSE source END AS source
+FROM documents WHERE lang IN ({", ".join(sql_str(c) for c in fx.CATEGORIES)})""")
+def q_union_sheets(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    base = scratch_path(spark, "sheets")
+    paths = []
+    for lang in fx.CATEGORIES:  # one sheet per language; the 'es' sheet has no source column
+        cols = ["doc_id", "text", "lang"] + ([] if lang == "es" else ["source"])
+        p = f"{base}/{lang}"
+        fl.write_delimited(d.where(F.col("lang") == lang).select(*cols), p)
+        paths.append(p)
+    return fl.union_sheets(spark, paths).select("doc_id", "text", "lang", "source")
+
+
+@query("read_keywords", "SELECT lower(p_type) AS keyword FROM part")
+def q_read_keywords(spark, sf_dir):
+    path = scratch_path(spark, "keywords")
+    fl.write_keywords(fx.table(spark, sf_dir, "part"), "p_type", path)
+    return fl.read_keywords(spark, path)
+
+
+@query("read_bug_reports", f"""
+SELECT doc_id::VARCHAR AS id, coalesce({title_sql('text')}, '') AS title, coalesce(source, '') AS commit_notes
+FROM documents""")
+def q_read_bug_reports(spark, sf_dir):
+    path = scratch_path(spark, "bugreports")
+    t = fx.tickets(spark, sf_dir).select("id", "title", "commit_notes", F.lit("x").alias("extra"))
+    fl.write_delimited(t, path)
+    return fl.read_bug_reports(spark, path)
+
+
+_TOP_SQL = f"""SELECT row_number() OVER (ORDER BY df DESC, term)::BIGINT AS rank, term, df FROM dfs
+WHERE df::DOUBLE > {fx.TOP_CUTOFF} * (SELECT max(df) FROM dfs) OR df = (SELECT max(df) FROM dfs)
+ORDER BY df DESC, term LIMIT {fx.TOP_N}"""
+
+
+@query("write_report_table", with_corpus(f"""
+SELECT rank::VARCHAR AS rank, term, df::VARCHAR AS df FROM ({_TOP_SQL})"""))
+def q_write_report_table(spark, sf_dir):
+    path = scratch_path(spark, "report")
+    fl.write_report_table(st.top_terms(_post(spark, sf_dir), fx.TOP_CUTOFF, fx.TOP_N), path)
+    return fl.read_delimited_records(spark, path)
+
+
+@query("write_text_report", with_corpus(f"""
+SELECT rank::VARCHAR || ':' || term || '(' || df::VARCHAR || ');' AS value FROM ({_TOP_SQL})"""))
+def q_write_text_report(spark, sf_dir):
+    path = scratch_path(spark, "text-report")
+    top = st.top_terms(_post(spark, sf_dir), fx.TOP_CUTOFF, fx.TOP_N)
+    fl.write_text_report(top.select(F.format_string("%d:%s(%d);", "rank", "term", "df").alias("line")), path)
+    return fl.read_text_report(spark, path)
+
+
+_UPD = [(b, f"UPDATED {b}") for b in fx.LOOKUP_BRANDS]
+_UPD_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({sql_str(k)}, {sql_str(v)})" for k, v in _UPD) + ") AS u(key, data)"
+
+
+@query("update_cell_by_key", f"""
+WITH firsts AS (SELECT p_brand, min(p_partkey) AS p_partkey FROM part
+                WHERE p_brand IN (SELECT key FROM ({_UPD_SQL})) GROUP BY p_brand)
+SELECT p.p_partkey, p.p_name, p.p_brand, coalesce(u.data, p.p_type) AS p_type, p.p_size, p.p_retailprice
+FROM part p LEFT JOIN firsts f ON f.p_brand = p.p_brand AND f.p_partkey = p.p_partkey
+LEFT JOIN ({_UPD_SQL}) u ON u.key = f.p_brand""")
+def q_update_cell_by_key(spark, sf_dir):
+    upd = spark.createDataFrame(_UPD, "key string, data string")
+    return tb.update_cell_by_key(fx.table(spark, sf_dir, "part"), "p_brand", "p_type", upd, "p_partkey")
+
+# ============================================================ projections, filters, scalar columns
+
+
+@query("field_value_sets", """
+SELECT DISTINCT field, value FROM (
+  SELECT 'p_brand' AS field, p_brand AS value FROM part UNION ALL
+  SELECT 'p_type', p_type FROM part UNION ALL
+  SELECT 'p_size', p_size::VARCHAR FROM part UNION ALL
+  SELECT 'p_name', p_name FROM part)
+WHERE value IS NOT NULL AND value <> ''""")
+def q_field_value_sets(spark, sf_dir):
+    return tb.field_value_sets(fx.table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size", "p_name"])
+
+
+@query("key_value_lists", """
+SELECT p_brand AS key, p_type AS value, count(*)::BIGINT AS n FROM part GROUP BY 1, 2""")
+def q_key_value_lists(spark, sf_dir):
+    return tb.key_value_lists(fx.table(spark, sf_dir, "part"), "p_brand", "p_type")
+
+
+@query("first_row_matching", f"""
+SELECT k.key, coalesce(min(p.p_partkey), -1)::BIGINT AS row_id
+FROM ({values_sql('key', fx.LOOKUP_BRANDS)}) k LEFT JOIN part p ON p.p_brand = k.key GROUP BY k.key""")
+def q_first_row_matching(spark, sf_dir):
+    keys = spark.createDataFrame([(b,) for b in fx.LOOKUP_BRANDS], "key string")
+    return tb.first_row_matching(fx.table(spark, sf_dir, "part"), "p_brand", keys, "p_partkey")
+
+
+@query("normalise_cells", """
+SELECT o_orderkey::VARCHAR AS o_orderkey, coalesce(o_orderstatus, '') AS o_orderstatus,
+       coalesce(o_totalprice::VARCHAR, '') AS o_totalprice, coalesce(strftime(o_orderdate, '%m-%d-%Y'), '') AS o_orderdate,
+       coalesce(CASE WHEN o_orderstatus = 'F' THEN 'true' WHEN o_orderstatus IS NOT NULL THEN 'false' END, '') AS is_final
+FROM orders""")
+def q_normalise_cells(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", (F.col("o_orderstatus") == "F").alias("is_final"))
+    return fc.normalise_cells(o)
+
+
+@query("lowercase_values", "SELECT p_partkey, lower(p_type) AS value FROM part")
+def q_lowercase_values(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "part")
+    return p.select("p_partkey", fc.lowercase_values("p_type").alias("value"))
+
+
+@query("include_filter", f"""
+SELECT p_partkey, p_type FROM part WHERE p_type IN ({", ".join(sql_str(t) for t in fx.TYPE_FILTER)})""")
+def q_include_filter(spark, sf_dir):
+    vals = spark.createDataFrame([(t,) for t in fx.TYPE_FILTER], "value string")
+    return tb.include_filter(fx.table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", vals)
+
+
+@query("exclude_filter", f"""
+SELECT p_partkey, p_type FROM part WHERE p_type NOT IN ({", ".join(sql_str(t) for t in fx.TYPE_FILTER)})""")
+def q_exclude_filter(spark, sf_dir):
+    vals = spark.createDataFrame([(t,) for t in fx.TYPE_FILTER], "value string")
+    return tb.exclude_filter(fx.table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", vals)
+
+
+@query("decode_urls", "SELECT doc_id, substring(text, 1, 80) AS decoded FROM documents")
+def q_decode_urls(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.url_encode(F.substring("text", 1, 80)).alias("url"))
+    return d.select("doc_id", fc.decode_url("url").alias("decoded"))
+
+
+_DAMAGED = "CASE WHEN o_orderkey % 10 = 3 THEN replace(s, '-', '/') ELSE s END"
+
+
+@query("parse_dates", f"""
+SELECT o_orderkey, {_DAMAGED} AS date_text, try_strptime({_DAMAGED}, '%m-%d-%Y')::DATE::VARCHAR AS parsed
+FROM (SELECT o_orderkey, strftime(o_orderdate, '%m-%d-%Y') AS s FROM orders)""")
+def q_parse_dates(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", fc.format_date("o_orderdate").alias("s"))
+    # every tenth order's text is damaged ('/' separators) and must parse to NULL
+    o = o.select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 3, F.regexp_replace("s", "-", "/"))
+                 .otherwise(F.col("s")).alias("date_text"))
+    # parsed DATE compared as its ISO text
+    return o.select("o_orderkey", "date_text", fc.parse_date("date_text").cast("string").alias("parsed"))
+
+
+@query("format_dates", "SELECT o_orderkey, strftime(o_orderdate, '%m-%d-%Y') AS date_text FROM orders")
+def q_format_dates(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", fc.format_date("o_orderdate").alias("date_text"))
+
+# ============================================================ jobs and streams
+
+
+@query("bug_report_job", with_corpus(_LISTED_SQL + f""",
+{_DETAIL_SQL}
+SELECT 'detail' AS sheet, (SELECT count(*) FROM detail)::BIGINT AS n_rows
+UNION ALL SELECT 'summary', (SELECT count(*) FROM ldfs)::BIGINT"""))
+def q_bug_report_job(spark, sf_dir):
+    paths = jobs.bug_report_job(spark, _docs(spark, sf_dir), fx.keyword_list(spark), scratch_path(spark, "bugreport"))
+    return jobs.sheet_sizes(spark, paths)
+
+
+def _doc_files(spark, sf_dir, name, n_files=4):
+    """The corpus split into several files so a stream sees several micro-batches."""
+    path = scratch_path(spark, name)
+    _docs(spark, sf_dir).repartition(n_files, "doc_id").write.parquet(path)
+    return path
+
+
+@query("stream_term_doc_freq", with_corpus("SELECT term, df FROM dfs"))
+def q_stream_term_doc_freq(spark, sf_dir):
+    src = _doc_files(spark, sf_dir, "stream-docs")
+    schema = _docs(spark, sf_dir).schema
+    return stm.run_term_doc_freq(spark, src, schema, scratch_path(spark, "stream-df"))
+
+
+@query("stream_keyword_tagging", f"WITH {_DETAIL_SQL}\nSELECT id, title, keyword FROM detail")
+def q_stream_keyword_tagging(spark, sf_dir):
+    src = _doc_files(spark, sf_dir, "stream-tickets")
+    schema = _docs(spark, sf_dir).schema
+    return stm.run_keyword_tagging(spark, src, schema, fx.keyword_list(spark), scratch_path(spark, "stream-tag"))
