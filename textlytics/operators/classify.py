@@ -48,7 +48,9 @@ def nb_train(post: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     whole index (labelled or not), which defines u."""
     ct = class_tokens(labelled, id_col, class_col)
     d_all = ct.select(F.countDistinct("doc_id")).scalar()
-    u = post.agg((F.count(F.lit(1)) / F.countDistinct("doc_id")).alias("u")).scalar()
+    # no postings at all → u = 0 (rather than a division by zero)
+    u = post.agg(F.coalesce(F.try_divide(F.count(F.lit(1)).cast("double"), F.countDistinct("doc_id")),
+                            F.lit(0.0)).alias("u")).scalar()
     classes = (ct.groupBy("class").agg(F.countDistinct("doc_id").cast("long").alias("n_docs"))
                .select("class", "n_docs",
                        (F.log(F.col("n_docs").cast("double")) - F.log(d_all.cast("double"))).alias("log_prior"),
