@@ -21,12 +21,25 @@ from ..functions.text import MAX_TOKEN_LENGTH, STOP_WORDS, TOKEN_PATTERN, analyz
 POSTINGS_COLUMNS = ("doc_id", "term", "tf", "doc_len", "doc_terms")
 
 
+def spread(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Guarantee enough tasks for the CPU-bound analyser.
+
+    A corpus stored as a few large row groups scans as a few partitions and
+    would be tokenised by a few cores.  Only then it is hash-partitioned by
+    document id (deterministic under retries; ids are unique, so balanced).
+    A large corpus already scans as thousands of splits and is left as is."""
+    target = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() >= target:
+        return docs
+    return docs.repartition(target, F.col(id_col))
+
+
 def analyzed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   pattern: str = TOKEN_PATTERN, stop=STOP_WORDS,
                   max_len: int = MAX_TOKEN_LENGTH) -> DataFrame:
     """(doc_id, terms array, doc_len, doc_terms) — one row per document, no shuffle."""
     terms = analyze(text_col, pattern, stop, max_len)
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), terms.alias("terms"))
+    return (spread(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), terms.alias("terms"))
             .withColumn("doc_len", F.size("terms").cast("long"))
             .withColumn("doc_terms", F.size(F.array_distinct("terms")).cast("long")))
 
@@ -59,7 +72,7 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id",
         F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields
     ])).alias("cell")
     stop = tuple(stop)
-    toks = (docs.select(F.col(id_col).cast("long").alias("doc_id"), cells)
+    toks = (spread(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), cells)
             .select("doc_id", F.col("cell.field").alias("field"),
                     F.explode_outer(analyze(F.col("cell.value"), pattern, stop, max_len)).alias("term"))
             .where(F.col("term").isNotNull()))
@@ -81,7 +94,7 @@ def term_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, pos, term).  Positions count removed stop words, so the gaps
     they leave are kept, as in a positional index.  No shuffle."""
     stop = tuple(stop)
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"),
+    return (spread(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"),
                         F.posexplode_outer(raw_tokens(text_col, pattern)).alias("pos", "term"))
             .where(F.col("term").isNotNull() & keep_token(F.col("term"), stop, max_len))
             .select("doc_id", F.col("pos").cast("long").alias("pos"), "term"))
