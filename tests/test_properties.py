@@ -124,3 +124,14 @@ def test_summary_report_each_keyword_df_one(spark):
     rows = rp.keyword_summary_report(postings(d), d, kw).collect()
     assert len(rows) == 6 and all(r.n_reports == 1 and r.n_new_covered == 1 for r in rows)
     assert math.isclose(max(r.pct_total_covered for r in rows), 6 / 7)
+
+
+@SETTINGS
+@given(corpora)
+def test_blocked_cosine_equals_join(spark, docs):
+    d = docs_df(spark, [" ".join(x) for x in docs])
+    post = postings(d)
+    key = lambda r: (r.doc_a, r.doc_b, r.overlap, round(r.cosine, 12))
+    blocked = sorted(map(key, sm.pairwise_cosine(post, block_docs=3, dense_terms=2).collect()))
+    joined = sorted(map(key, sm.pairwise_cosine(post, method="join").collect()))
+    assert blocked == joined
