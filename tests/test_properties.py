@@ -62,6 +62,8 @@ def test_cosine_and_cooccurrence_brute_force(spark, docs):
     pairs = {(r.term_a, r.term_b): r.n_docs for r in sm.term_cooccurrence_all(post).collect()}
     want2 = Counter((a, b) for s in sets for a in s for b in s if a <= b)
     assert pairs == dict(want2)
+    pruned = {(r.term_a, r.term_b): r.n_docs for r in sm.term_cooccurrence_all(post, 2).collect()}
+    assert pruned == {k: v for k, v in want2.items() if v >= 2}
 
 
 @SETTINGS

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +42,15 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: Mapping[str, st
     sums = dict(sums or {})
     if partitions is None:
         partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = (df.repartitionByRange(partitions, *order)
-              .withColumn("_rng", F.spark_partition_id())
-              .checkpoint(eager=True))
+    # the range sampler and the shuffle both read the input: persist it so it
+    # is computed once, then cut the lineage with a reliable checkpoint
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = (src.repartitionByRange(partitions, *order)
+                  .withColumn("_rng", F.spark_partition_id())
+                  .checkpoint(eager=True))
+    finally:
+        src.unpersist()
     aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(src).alias(f"_s_{out}") for out, src in sums.items()]
     totals = ranged.groupBy("_rng").agg(*aggs)
     prior = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)

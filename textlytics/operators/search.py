@@ -45,18 +45,22 @@ def _scored(post: DataFrame, docs: DataFrame, kw_terms: DataFrame, quantized: bo
     qt = kw_terms.select("term").distinct()
     # df only for the query terms: semi-join first, then aggregate
     qdf = doc_freqs(post.join(bc(qt), "term", "left_semi"))
+    # per-keyword norms ride on the same small table (window over ≤ MAX_QUERY_TERMS rows),
+    # so the query side is broadcast once
+    per_kw = Window.partitionBy("keyword")
     stats = (kt.join(bc(qdf), "term", "left")
-             .withColumn("idf", idf(F.coalesce("df", F.lit(0)), n_docs(docs))))
-    per_kw = stats.groupBy("keyword").agg(
-        F.count(F.lit(1)).alias("n_q"), (F.lit(1.0) / F.sqrt(F.sum(F.col("idf") * F.col("idf")))).alias("qnorm"))
-    hits = post.join(bc(stats.select("keyword", "term", "idf")), "term")
+             .withColumn("idf", idf(F.coalesce("df", F.lit(0)), n_docs(docs)))
+             .withColumn("n_q", F.count(F.lit(1)).over(per_kw))
+             .withColumn("qnorm", F.lit(1.0) / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(per_kw))))
+    hits = post.join(bc(stats.select("keyword", "term", "idf", "n_q", "qnorm")), "term")
     contrib = tf_weight("tf") * F.col("idf") * F.col("idf") * length_norm("doc_len", quantized)
-    agg = hits.groupBy("keyword", "doc_id").agg(F.sum(contrib).alias("_s"), F.count(F.lit(1)).alias("matched"))
-    return (agg.join(bc(per_kw), "keyword")
-            .select("keyword", "doc_id",
-                    F.round(F.col("matched") / F.col("n_q") * F.col("qnorm") * F.col("_s"),
-                            SCORE_DECIMALS).alias("score"),
-                    "matched"))
+    agg = hits.groupBy("keyword", "doc_id").agg(
+        F.sum(contrib).alias("_s"), F.count(F.lit(1)).alias("matched"),
+        F.max("n_q").alias("n_q"), F.max("qnorm").alias("qnorm"))
+    return agg.select("keyword", "doc_id",
+                      F.round(F.col("matched") / F.col("n_q") * F.col("qnorm") * F.col("_s"),
+                              SCORE_DECIMALS).alias("score"),
+                      "matched")
 
 
 def _single(spark, keyword: str) -> DataFrame:
