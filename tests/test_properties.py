@@ -137,3 +137,14 @@ def test_blocked_cosine_equals_join(spark, docs):
     blocked = sorted(map(key, sm.pairwise_cosine(post, block_docs=3, dense_terms=2).collect()))
     joined = sorted(map(key, sm.pairwise_cosine(post, method="join").collect()))
     assert blocked == joined
+
+
+def test_summary_report_unbounded_path_equals_window(spark, monkeypatch):
+    texts = ["alpha beta", "beta gamma", "gamma", "delta alpha", "none"]
+    d = docs_df(spark, texts)
+    kw = spark.createDataFrame(list(enumerate(["alpha", "beta", "gamma", "delta"])), "kw_idx long, keyword string")
+    post = postings(d)
+    small = sorted(tuple(r) for r in rp.keyword_summary_report(post, d, kw).collect())
+    monkeypatch.setattr(rp, "MAX_BROADCAST_KEYWORDS", 0)
+    big = sorted(tuple(r) for r in rp.keyword_summary_report(post, d, kw).collect())
+    assert small == big and len(small) == 4

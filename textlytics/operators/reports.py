@@ -38,20 +38,27 @@ def term_distribution(post: DataFrame, docs: DataFrame) -> DataFrame:
                          (F.col("covered") / n_docs(docs)).alias("covered_share"))
 
 
-def _listed(post: DataFrame, keywords: DataFrame) -> DataFrame:
+def _listed(post: DataFrame, keywords: DataFrame) -> tuple[DataFrame, bool]:
+    """Postings of listed terms, and whether the list is within the broadcast bound."""
     kw = keywords.select(F.col("keyword").alias("term")).distinct()
-    bc = F.broadcast if is_bounded(kw, MAX_BROADCAST_KEYWORDS) else (lambda d: d)
-    return post.join(bc(kw), "term", "left_semi")
+    small = is_bounded(kw, MAX_BROADCAST_KEYWORDS)
+    return post.join(F.broadcast(kw) if small else kw, "term", "left_semi"), small
 
 
 def keyword_summary_report(post: DataFrame, docs: DataFrame, keywords: DataFrame) -> DataFrame:
     """R2: keywords that occur as terms, in df order: (rank, keyword,
     n_reports, n_new_covered, pct_total_covered).  Multi-word keywords never
     match a single term (as in the original).  Bounded by the keyword list, so
-    the running window over it is small."""
-    listed = _listed(post, keywords)
+    the running window over it is small; a list beyond the bound goes through
+    the distributed running totals instead."""
+    listed, small = _listed(post, keywords)
     dfs = doc_freqs(listed)
     rows = dfs.join(_first_cover(listed, dfs), "term", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
+    if not small:
+        ranked = running_totals(rows, [F.desc("df"), F.asc("term")], {"covered": "n_new"})
+        return ranked.select(F.col("rank").cast("long").alias("rank"), F.col("term").alias("keyword"),
+                             F.col("df").alias("n_reports"), F.col("n_new").alias("n_new_covered"),
+                             (F.col("covered") / n_docs(docs)).alias("pct_total_covered"))
     w = Window.orderBy(F.desc("df"), F.asc("term"))
     return rows.select(
         F.row_number().over(w).cast("long").alias("rank"),
@@ -62,7 +69,7 @@ def keyword_summary_report(post: DataFrame, docs: DataFrame, keywords: DataFrame
 
 def keyword_report_totals(post: DataFrame, docs: DataFrame, keywords: DataFrame) -> DataFrame:
     """First header line — matched keywords (listed terms present) and total reports."""
-    matched = _listed(post, keywords).select("term").distinct()
+    matched = _listed(post, keywords)[0].select("term").distinct()
     return matched.agg(F.count(F.lit(1)).cast("long").alias("matched_keywords")).select(
         "matched_keywords", n_docs(docs).cast("long").alias("total_reports"))
 
