@@ -34,6 +34,7 @@ MAX_CLASSES = 10_000
 class NBModel:
     classes: DataFrame      # (class, n_docs, log_prior, log_den)
     class_terms: DataFrame  # (class, term, hits)
+    class_names: DataFrame  # (class) — cheap to count, no text involved
 
 
 def class_tokens(labelled: DataFrame, id_col: str = "doc_id", class_col: str = "category") -> DataFrame:
@@ -43,27 +44,34 @@ def class_tokens(labelled: DataFrame, id_col: str = "doc_id", class_col: str = "
 
 
 def nb_train(post: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
-             class_col: str = "category") -> NBModel:
+             class_col: str = "category", docs: DataFrame | None = None,
+             text_col: str = "text") -> NBModel:
     """Train on (doc_id, category); ``post`` holds the text field of the
-    whole index (labelled or not), which defines u."""
+    whole index (labelled or not), which defines u.  When the corpus ``docs``
+    is given, u is summed per document in-row (no shuffle)."""
     ct = class_tokens(labelled, id_col, class_col)
     d_all = ct.select(F.countDistinct("doc_id")).scalar()
-    # no postings at all → u = 0 (rather than a division by zero)
-    u = post.agg(F.coalesce(F.try_divide(F.count(F.lit(1)).cast("double"), F.countDistinct("doc_id")),
-                            F.lit(0.0)).alias("u")).scalar()
+    # u = postings / documents with terms; no postings at all → 0 (not a division by zero)
+    if docs is not None:
+        a = analyzed_docs(docs, id_col, text_col)
+        u_num, u_den = F.sum("doc_terms"), F.count_if(F.col("doc_terms") > 0)
+    else:
+        a = post
+        u_num, u_den = F.count(F.lit(1)), F.countDistinct("doc_id")
+    u = a.agg(F.coalesce(F.try_divide(u_num.cast("double"), u_den), F.lit(0.0)).alias("u")).scalar()
     classes = (ct.groupBy("class").agg(F.countDistinct("doc_id").cast("long").alias("n_docs"))
                .select("class", "n_docs",
                        (F.log(F.col("n_docs").cast("double")) - F.log(d_all.cast("double"))).alias("log_prior"),
                        F.log(u * F.col("n_docs") + d_all).alias("log_den")))
     class_terms = (post.select("doc_id", "term").join(ct, "doc_id")
                    .groupBy("class", "term").agg(F.count(F.lit(1)).cast("long").alias("hits")))
-    return NBModel(classes, class_terms)
+    return NBModel(classes, class_terms, ct.select("class").distinct())
 
 
 def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """(doc_id, predicted, score) for every document of ``docs``."""
-    if not is_bounded(model.classes, MAX_CLASSES):
+    if not is_bounded(model.class_names, MAX_CLASSES):
         raise ValueError(f"more than {MAX_CLASSES} classes")
     cls = model.classes.select(F.array_sort(F.collect_list(
         F.struct("class", "log_prior", "log_den"))).alias("c")).scalar()
@@ -88,7 +96,7 @@ def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str =
 def nb_label_unlabelled(post: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                         class_col: str = "category", text_col: str = "text") -> DataFrame:
     """Train on the labelled documents, predict those without a category."""
-    model = nb_train(post, labels.where(F.col(class_col).isNotNull()), id_col, class_col)
+    model = nb_train(post, labels.where(F.col(class_col).isNotNull()), id_col, class_col, docs, text_col)
     unl = docs.join(labels.where(F.col(class_col).isNotNull()).select(id_col), id_col, "left_anti")
     return nb_classify(post, unl, model, id_col, text_col)
 

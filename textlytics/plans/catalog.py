@@ -464,7 +464,7 @@ _ALL_SQL = "SELECT doc_id FROM documents"
 
 def _lang_model(spark, sf_dir, post):
     d = _docs(spark, sf_dir)
-    return nb.nb_train(post, d.select("doc_id", F.col("lang").alias("category")))
+    return nb.nb_train(post, d.select("doc_id", F.col("lang").alias("category")), docs=d)
 
 
 @query("nb_train", with_corpus(_nb_sql(_LANG_SQL, _ALL_SQL) + """
