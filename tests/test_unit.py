@@ -78,3 +78,17 @@ def test_normalise_cells(spark):
     df = df.withColumn("dt", F.to_date(F.lit("1996-03-15")))
     r = fc.normalise_cells(df).collect()[0]
     assert (r.i, r.b, r.d, r.s, r.dt) == ("1", "true", "2.5", "", "03-15-1996")
+
+
+def test_saved_index_prunes_and_searches_the_same(spark):
+    from textlytics.operators import search as se
+    from textlytics.operators.index import load_index, postings, save_index
+    d = docs_df(spark, ["red apple pie", "green apple", "blue sky", "red sky at night"])
+    path = scratch_path(spark, "t-index")
+    save_index(postings(d), path, partitions=2)
+    idx = load_index(spark, path)
+    plan = idx.where(F.col("term").isin("apple"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,apple)" in plan.split("PushedFilters")[1]
+    a = se.search_keyword(postings(d), d, "red apple", 10).collect()
+    b = se.search_keyword(idx, d, "red apple", 10).collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b]

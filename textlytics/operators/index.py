@@ -101,3 +101,20 @@ def term_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         F.posexplode_outer(raw_tokens(text_col, pattern)).alias("pos", "term"))
             .where(F.col("term").isNotNull() & keep_token(F.col("term"), stop, max_len))
             .select("doc_id", F.col("pos").cast("long").alias("pos"), "term"))
+
+
+def save_index(post: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Persist postings as the corpus' inverted index (S3 sink).
+
+    Range-partitioned and sorted by term, so every file holds a contiguous
+    term range and its row groups carry tight min/max term statistics: a
+    later ``term IN (...)`` filter is pushed into the scan and skips files and
+    row groups, the way a term dictionary lookup touches only its postings."""
+    n = partitions or int(post.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    (post.repartitionByRange(n, "term").sortWithinPartitions("term", "doc_id")
+     .write.mode("overwrite").parquet(path))
+
+
+def load_index(spark, path: str) -> DataFrame:
+    """Read postings written by :func:`save_index`."""
+    return spark.read.parquet(path)
