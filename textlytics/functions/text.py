@@ -53,9 +53,10 @@ def analyze(text: Column | str, pattern: str = TOKEN_PATTERN,
     return F.filter(raw_tokens(text, pattern), lambda t: keep_token(t, stop, max_len))
 
 
-def analyzed_title(text: Column | str, max_chars: int = 200) -> Column:
-    """Ticket title role: first line of the text, at most ``max_chars`` characters."""
-    return F.substring(F.split(F.coalesce(_c(text), F.lit("")), "\n", 2).getItem(0), 1, max_chars)
+def ticket_text(text: Column | str) -> Column:
+    """The ticket text that keyword reports match and display: the whole text
+    (NULL → ''), never a prefix of it."""
+    return F.coalesce(_c(text), F.lit(""))
 
 
 def length_norm(n: Column | str, quantized: bool = True) -> Column:

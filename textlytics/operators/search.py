@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, TOKEN_PATTERN, analyze, analyzed_title, idf, length_norm, tf_weight
+from ..functions.text import STOP_WORDS, TOKEN_PATTERN, analyze, ticket_text, idf, length_norm, tf_weight
 from .ordering import is_bounded
 from .stats import doc_freqs, n_docs
 
@@ -100,7 +100,7 @@ def search_results_table(post: DataFrame, docs: DataFrame, keyword: str, top_n:
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Q4: (rank, score, doc_id, title, matched) — matched = hits returned."""
     hits = search_keyword(post, docs, keyword, top_n)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), analyzed_title(text_col).alias("title"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), ticket_text(text_col).alias("title"))
     return (hits.join(d, "doc_id")
             .withColumn("matched", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).cast("long"))
             .select("rank", "score", "doc_id", "title", "matched"))

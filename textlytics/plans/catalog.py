@@ -672,9 +672,10 @@ def q_exclude_filter(spark, sf_dir):
     return tb.exclude_filter(fx.table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", vals)
 
 
-@query("decode_urls", "SELECT doc_id, substring(text, 1, 80) AS decoded FROM documents")
+@query("decode_urls", "SELECT doc_id, text AS decoded FROM documents")
 def q_decode_urls(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.url_encode(F.substring("text", 1, 80)).alias("url"))
+    # each whole text URL-encoded, then decoded back
+    d = _docs(spark, sf_dir).select("doc_id", F.url_encode("text").alias("url"))
     return d.select("doc_id", fc.decode_url("url").alias("decoded"))
 
 

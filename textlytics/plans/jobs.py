@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import analyzed_title
+from ..functions.text import ticket_text
 from ..operators import reports as rp
 from ..operators.index import postings
 from ..sources.files import read_delimited_records, write_report_table
@@ -27,7 +27,7 @@ def bug_report_job(spark: SparkSession, docs: DataFrame, keywords: DataFrame, ou
     returns sheet → path."""
     post = postings(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        tickets = docs.select(F.col(id_col).cast("long").alias("id"), analyzed_title(text_col).alias("title"))
+        tickets = docs.select(F.col(id_col).cast("long").alias("id"), ticket_text(text_col).alias("title"))
         summary = rp.keyword_summary_report(post, docs, keywords)
         detail = rp.keyword_detail_report(tickets, keywords)
         paths = {"summary": os.path.join(out_dir, "summary"), "detail": os.path.join(out_dir, "detail")}

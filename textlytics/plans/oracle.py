@@ -28,7 +28,8 @@ def analyze_sql(expr: str) -> str:
 
 
 def title_sql(expr: str) -> str:
-    return f"substring(split_part(coalesce({expr}, ''), chr(10), 1), 1, 200)"
+    """Ticket text as matched and shown by the keyword reports: the whole text."""
+    return f"coalesce({expr}, '')"
 
 
 def norm_sql(n: str) -> str:

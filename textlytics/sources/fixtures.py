@@ -1,7 +1,7 @@
 """How the driver's tables play the original tool's inputs.
 
 * corpus (ID, body)           → documents(doc_id, text)
-* ticket title ("Subject")    → first line of the text, at most 200 characters
+* ticket title ("Subject")    → the whole text (there is no separate subject field)
 * fully labelled category     → documents.lang
 * partly labelled category    → labels.quality, left-joined (NULL = unlabelled)
 * key → list / first row      → part.p_brand → part.p_type, row id p_partkey
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import analyzed_title
+from ..functions.text import ticket_text
 
 # --- fixed query parameters (like the substitution values of a benchmark) ---
 # Report keyword list: frequent and rare corpus words, a two-word phrase, a
@@ -48,7 +48,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, title, commit_notes) bug-report rows from the corpus."""
     d = corpus(spark, sf_dir)
-    return d.select(F.col("doc_id").alias("id"), analyzed_title("text").alias("title"),
+    return d.select(F.col("doc_id").alias("id"), ticket_text("text").alias("title"),
                     F.col("source").alias("commit_notes"))
 
 

@@ -17,7 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import analyze, analyzed_title
+from ..functions.text import analyze, ticket_text
 from ..operators.ordering import is_bounded
 
 MAX_STREAM_KEYWORDS = 10_000
@@ -36,7 +36,7 @@ def keyword_tagging_stream(stream: DataFrame, keywords: DataFrame, id_col: str =
     title contains a keyword (one row per keyword occurrence in the list)."""
     if not is_bounded(keywords, MAX_STREAM_KEYWORDS):
         raise ValueError(f"streaming keyword list limited to {MAX_STREAM_KEYWORDS}")
-    t = stream.select(F.col(id_col).cast("long").alias("id"), analyzed_title(text_col).alias("title"))
+    t = stream.select(F.col(id_col).cast("long").alias("id"), ticket_text(text_col).alias("title"))
     kw = F.broadcast(keywords.select("keyword").where(F.length("keyword") > 0))
     return (t.join(kw, F.lower("title").contains(F.col("keyword")))
             .select("id", "title", "keyword"))
