@@ -24,6 +24,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Spark runs one task per core: numpy inside a task must not start its
+        # own BLAS/OpenMP thread pool on top (oversubscription)
+        "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+        "spark.executorEnv.OMP_NUM_THREADS": "1",
+        "spark.executorEnv.MKL_NUM_THREADS": "1",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
