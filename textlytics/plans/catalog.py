@@ -44,6 +44,12 @@ def _docs(spark, sf_dir):
     return fx.corpus(spark, sf_dir)
 
 
+def _indexed(spark, sf_dir):
+    """Postings built once and checkpointed (shared checkpoint folder), for
+    queries that read them in several passes: index once, then query."""
+    return _post(spark, sf_dir).checkpoint(eager=True)
+
+
 def _r6(c):
     return F.round(c, 6)
 
@@ -300,7 +306,7 @@ SELECT row_number() OVER w::BIGINT AS rank, dfs.term, dfs.df, coalesce(n_new, 0)
 FROM dfs LEFT JOIN newc ON newc.term = dfs.term
 WINDOW w AS (ORDER BY dfs.df DESC, dfs.term ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def q_term_distribution(spark, sf_dir):
-    r = rp.term_distribution(_post(spark, sf_dir), _docs(spark, sf_dir))
+    r = rp.term_distribution(_indexed(spark, sf_dir), _docs(spark, sf_dir))
     return r.withColumn("covered_share", _r6(F.col("covered_share")))
 
 
@@ -377,7 +383,7 @@ ORDER BY df DESC, term LIMIT {fx.PAIRWISE_TOP_N}"""
 
 @query("top_term_cooccurrence", with_corpus(_cooc_sql(_TOP20_SQL) + "\nSELECT * FROM cooc"))
 def q_top_term_cooccurrence(spark, sf_dir):
-    return sm.top_term_cooccurrence(_post(spark, sf_dir), fx.PAIRWISE_TOP_N, fx.TOP_CUTOFF)
+    return sm.top_term_cooccurrence(_indexed(spark, sf_dir), fx.PAIRWISE_TOP_N, fx.TOP_CUTOFF)
 
 
 # Every pair of the whole vocabulary is computed; the registered report keeps
@@ -426,7 +432,7 @@ _M6_COLS = ", ".join(
 @query("similarity_matrix_table", with_corpus(_cooc_sql(_TOP20_SQL) + f"""
 SELECT pos_a, term_a, {_M6_COLS} FROM cooc GROUP BY pos_a, term_a"""))
 def q_similarity_matrix_table(spark, sf_dir):
-    cells = sm.top_term_cooccurrence(_post(spark, sf_dir), fx.PAIRWISE_TOP_N, fx.TOP_CUTOFF)
+    cells = sm.top_term_cooccurrence(_indexed(spark, sf_dir), fx.PAIRWISE_TOP_N, fx.TOP_CUTOFF)
     return sm.similarity_matrix_table(cells.withColumnRenamed("n_docs", "value"), fx.PAIRWISE_TOP_N,
                                       row_label="term_a")
 
@@ -471,7 +477,7 @@ def _lang_model(spark, sf_dir, post):
 SELECT h.class, h.term, h.hits, cs.n_docs, round(cs.log_prior, 6) AS log_prior, round(cs.log_den, 6) AS log_den
 FROM hits h JOIN cs ON cs.class = h.class"""))
 def q_nb_train(spark, sf_dir):
-    m = _lang_model(spark, sf_dir, _post(spark, sf_dir))
+    m = _lang_model(spark, sf_dir, _indexed(spark, sf_dir))
     return m.class_terms.join(m.classes, "class").select(
         "class", "term", "hits", "n_docs", _r6(F.col("log_prior")).alias("log_prior"),
         _r6(F.col("log_den")).alias("log_den"))
@@ -479,7 +485,7 @@ def q_nb_train(spark, sf_dir):
 
 @query("nb_classify", with_corpus(_nb_sql(_LANG_SQL, _ALL_SQL) + "\nSELECT doc_id, predicted FROM pred"))
 def q_nb_classify(spark, sf_dir):
-    post = _post(spark, sf_dir)
+    post = _indexed(spark, sf_dir)
     return nb.nb_classify(post, _docs(spark, sf_dir), _lang_model(spark, sf_dir, post)).select("doc_id", "predicted")
 
 
@@ -494,7 +500,7 @@ def q_nb_label_unlabelled(spark, sf_dir):
     d = _docs(spark, sf_dir)
     labels = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("category"))
     lab = d.select("doc_id").join(labels, "doc_id", "left")
-    return nb.nb_label_unlabelled(_post(spark, sf_dir), d, lab).select("doc_id", "predicted")
+    return nb.nb_label_unlabelled(_indexed(spark, sf_dir), d, lab).select("doc_id", "predicted")
 
 
 _CATS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({sql_str(c)})" for c in fx.CATEGORIES) + ") AS v(c)"
@@ -508,7 +514,7 @@ cm AS (SELECT a.c AS actual, p.c AS predicted, count(x.doc_id)::BIGINT AS n
 
 
 def _lang_confusion(spark, sf_dir):
-    post = _post(spark, sf_dir)
+    post = _indexed(spark, sf_dir)
     d = _docs(spark, sf_dir)
     pred = nb.nb_classify(post, d, _lang_model(spark, sf_dir, post))
     return nb.confusion_matrix(pred, d.select("doc_id", F.col("lang").alias("category")), fx.CATEGORIES)

@@ -29,6 +29,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
         "spark.executorEnv.OMP_NUM_THREADS": "1",
         "spark.executorEnv.MKL_NUM_THREADS": "1",
+        # checkpoint files of a query are removed once its data is unreachable
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
