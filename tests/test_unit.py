@@ -92,3 +92,12 @@ def test_saved_index_prunes_and_searches_the_same(spark):
     a = se.search_keyword(postings(d), d, "red apple", 10).collect()
     b = se.search_keyword(idx, d, "red apple", 10).collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_chomp_removes_one_line_break(spark):
+    from textlytics.operators import search as se
+    from textlytics.operators.index import postings
+    d = docs_df(spark, ["alpha\n\n", "alpha\r\n", "alpha beta"])
+    terms = spark.createDataFrame([("alpha",)], "term string")
+    got = {r.doc_id: r.text for r in se.search_in_id_order(postings(d), d, terms, 10).collect()}
+    assert got == {0: "alpha\n", 1: "alpha", 2: "alpha beta"}

@@ -92,7 +92,7 @@ def search_in_id_order(post: DataFrame, docs: DataFrame, terms: DataFrame, top_n
     line break removed.  Scores are dropped, as in the original."""
     hits = search_any_term(post, docs, terms, top_n).select("doc_id")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                    F.regexp_replace(F.col(text_col), r"(\r\n|\n|\r)$", "").alias("text"))
+                    F.regexp_replace(F.col(text_col), r"(\r\n|\n|\r)\z", "").alias("text"))
     return d.join(F.broadcast(hits), "doc_id").orderBy("doc_id")
 
 

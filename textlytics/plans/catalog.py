@@ -247,7 +247,7 @@ def q_search_any_term(spark, sf_dir):
 
 @query("search_in_id_order", with_corpus(scored_sql(_OR_KT) + f""",
 top AS (SELECT doc_id FROM sc ORDER BY score DESC, doc_id LIMIT {fx.SEARCH_TOP_N})
-SELECT d.doc_id, regexp_replace(d.text, '(\\r\\n|\\n|\\r)$', '') AS text
+SELECT d.doc_id, regexp_replace(d.text, '(\\r\\n|\\n|\\r)\\z', '') AS text
 FROM documents d JOIN top ON top.doc_id = d.doc_id"""))
 def q_search_in_id_order(spark, sf_dir):
     terms = fx.term_list(spark, fx.OR_TERMS)
