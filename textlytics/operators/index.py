@@ -29,10 +29,15 @@ def spread(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     document id (deterministic under retries; ids are unique, so balanced).
     A large corpus already scans as thousands of splits and is left as is."""
     try:
+        # a plan with a join or aggregate already comes out of a shuffle (and
+        # counting its partitions would make adaptive execution run it): leave it
+        planned = docs._jdf.queryExecution().sparkPlan().toString()
+        if any(k in planned for k in ("Join", "Aggregate", "Exchange", "Window")):
+            return docs
         target = docs.sparkSession.sparkContext.defaultParallelism
         if docs.rdd.getNumPartitions() >= target:
             return docs
-    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect)
+    except Exception:  # noqa: BLE001 - sessions without JVM/RDD access (Spark Connect)
         return docs
     return docs.repartition(target, F.col(id_col))
 
