@@ -31,6 +31,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.executorEnv.MKL_NUM_THREADS": "1",
         # checkpoint files of a query are removed once its data is unreachable
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # partition sizing: 128 MB scan splits; AQE coalesces post-shuffle
+        # partitions towards 128 MB and splits skewed ones (> 5x median and
+        # > 256 MB), so partition counts follow the data, not a fixed number
+        "spark.sql.files.maxPartitionBytes": "128m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
