@@ -50,23 +50,35 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder.
+    """Return the session's checkpoint folder (and let Python workers import the package).
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when nothing is configured (local runs, tests) a private folder
+    is; without one this raises.  Only in local mode (tests) a private folder
     is created."""
     sc = spark.sparkContext
+    _reach_workers(sc)
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="textlytics-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def _reach_workers(sc) -> None:
+    """Let Python workers on this machine import the package from where the driver did.
+    (On a cluster the package is installed on the nodes or sent with --py-files.)"""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in known:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([home, *known])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for round-trip sinks."""
     base = ensure_checkpoint_dir(spark)
