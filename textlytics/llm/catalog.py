@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textlytics.llm.packing import op3_packing
+from textlytics.llm.quality_classifier import op5_quality_classifier
+from textlytics.llm.quality_rules import op4_quality_rules
+from textlytics.llm.sharding import op6_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sum_of_squares_packing": op3_packing,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_sharding": op6_sharding,
 }
 
 ORACLE: dict[str, str] = {}
