@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textlytics.llm.near_dedup import op8_near_dedup
 from textlytics.llm.packing import op3_packing
 from textlytics.llm.quality_classifier import op5_quality_classifier
 from textlytics.llm.quality_rules import op4_quality_rules
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_sharding": op6_sharding,
+    "op8_near_dedup": op8_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
