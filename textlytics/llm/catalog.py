@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textlytics.llm.decontamination import op9_decontamination
 from textlytics.llm.line_dedup import op1_line_dedup
 from textlytics.llm.near_dedup import op8_near_dedup
 from textlytics.llm.packing import op3_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_sharding": op6_sharding,
     "op8_near_dedup": op8_near_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE: dict[str, str] = {}

@@ -42,14 +42,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, column: str = "text"
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique long column row; rows of files have the same number whenever
+    they are read (write other tables first)."""
+    return docs.withColumn("row", F.monotonically_increasing_id())
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, lower: bool = False
                 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of consecutive rows with about ``limit`` bytes of text; null is empty."""
+    """(rows, bytes, offsets) of consecutive rows with about ``limit`` bytes of text; null is empty.
+
+    With ``lower`` the bytes are those of the text in lower case (of any alphabet)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        i = batch.schema.get_field_index(column)
-        col = pc.fill_null(batch.column(i).cast(pa.large_string()), "")
+        col = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
+        col = pc.utf8_lower(col) if lower else col
         n = len(col)
         offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + n + 1]
         raw = col.buffers()[2]
