@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textlytics.llm.decontamination import op9_decontamination
+from textlytics.llm.license_scan import op10_license_scan
 from textlytics.llm.line_dedup import op1_line_dedup
 from textlytics.llm.near_dedup import op8_near_dedup
 from textlytics.llm.packing import op3_packing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE: dict[str, str] = {}
