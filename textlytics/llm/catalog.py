@@ -13,10 +13,12 @@ from textlytics.llm.near_dedup import op8_near_dedup
 from textlytics.llm.packing import op3_packing
 from textlytics.llm.quality_classifier import op5_quality_classifier
 from textlytics.llm.quality_rules import op4_quality_rules
+from textlytics.llm.secret_scan import op2_secret_scan
 from textlytics.llm.sharding import op6_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_sum_of_squares_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
