@@ -4,13 +4,17 @@
 sketches differ in ``limit`` bits at most are candidates.  It finds the connected
 components of the verified candidates:
 
-1. Each bucket has up to three centres (its first node, and the first and last by a
-   hash of the node).  Every member is a candidate with each of them, so a bucket costs
-   rows in proportion to its members, however large it is.
+1. Each bucket has one or two centres: its first node and, with more than ``SMALL`` members, the one
+   whose sketch is nearest to the majority of all their sketches (copies of one original
+   resemble it more than each other).  Every member is a candidate with each of them, so a
+   bucket costs rows in proportion to its members, however large it is.
 2. Components of the verified links.
 3. A pair of a bucket that is still in two components may yet be linked.  The members
    outside a bucket's largest component meet all its members of other components; the
    sketches are compared inside the join.  Pairs within one component need no test.
+   In buckets of over ``LARGE`` members ``bound`` rules out pairs, if given: it has for every node its
+   size and how many of its elements no other node there has.  Two nodes
+   share at most the rest, which bounds their Jaccard similarity.
 4. Components of all verified links.
 
 So every candidate pair has been tested or is connected already: no link is lost.
@@ -27,6 +31,11 @@ from pyspark.sql import functions as F
 
 from textlytics.llm.common import written
 
+#: members up to which a bucket has one centre
+SMALL = 8
+#: members beyond which a bucket's pairs of step 3 are bounded first
+LARGE = 64
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b); the root is the smallest node.
@@ -57,42 +66,65 @@ def components(links: DataFrame) -> DataFrame:
         now.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
-def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _majority(rows: DataFrame) -> DataFrame:
+    """(bucket, most): the majority of each bit of the sketches of a bucket."""
+    sums = [F.sum(F.shiftrightunsigned("sketch", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(64)]
+    bits = [F.when(2 * F.col(f"b{k}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
+            for k in range(64)]
+    most = bits[0]
+    for b in bits[1:]:
+        most = most.bitwiseOR(b)
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), *sums).select("bucket", most.alias("most"))
+
+
+def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], DataFrame],
+              bound: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.0) -> DataFrame:
     """(node, root) of the nodes with a verified link.
 
     ``members``: bucket long, node long, sketch long, a node once in a bucket.
-    ``verify``: from distinct pairs (a, b) with a < b those that are near copies."""
+    ``verify``: from distinct pairs (a, b) with a < b those that are near copies.
+    ``bound``: from nodes to (node, size, own); near copies have a Jaccard similarity of
+    ``threshold`` at least."""
     near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= limit
-    one = F.struct("node", "sketch")
-    hashed = F.struct(F.xxhash64("node").alias("h"), "node", "sketch")
-    shared = written(members.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min(one).alias("c1"), F.min(hashed).alias("c2"), F.max(hashed).alias("c3"))
-        .where("n > 1"), "buckets")
-    centres = shared.select("bucket", F.explode(F.array_distinct(F.array(
-        "c1", *(F.struct(F.col(c)["node"].alias("node"), F.col(c)["sketch"].alias("sketch")) for c in ("c2", "c3"))
-    ))).alias("c")).select("bucket", F.col("c")["node"].alias("node2"), F.col("c")["sketch"].alias("sketch2"))
-
-    live = written(members.join(shared.select("bucket"), "bucket"), "members")
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "sketch")).alias("c"))
+                     .where("n > 1"), "buckets")
+    live = written(members.join(shared.select("bucket", "n"), "bucket"), "members")
+    centre = ["bucket", F.col("c")["node"].alias("node2"), F.col("c")["sketch"].alias("sketch2")]
+    many = live.where(F.col("n") > SMALL)
+    most = written(_majority(many), "majority")
+    away = F.bit_count(F.col("sketch").bitwiseXOR(F.col("most")))
+    middle = many.join(most, "bucket").groupBy("bucket").agg(F.min(F.struct(away.alias("away"), "node", "sketch")).alias("c"))
+    centres = written(shared.select(*centre).union(middle.select(*centre)).distinct(), "centres")
 
     def pairs(rows: DataFrame) -> DataFrame:
         return rows.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
-    tried = written(pairs(live.join(written(centres, "centres"), "bucket").where(F.col("node") != F.col("node2")).where(near)),
-                    "tried")
+    tried = written(pairs(live.join(centres, "bucket").where(F.col("node") != F.col("node2")).where(near)), "tried")
     links = written(verify(tried), "verified")
     placed = written(components(links), "components")
 
     comp = F.coalesce("root", "node").alias("comp")
-    lives = written(live.join(placed, "node", "left").select("bucket", "node", "sketch", comp), "placed")
-    sizes = lives.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    mixed = written(sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"),
-                                                F.count("*").alias("k")).where("k > 1").drop("k"), "mixed")
+    lives = written(live.join(placed, "node", "left").select("bucket", "n", "node", "sketch", comp), "placed")
+    sizes = lives.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    mixed = written(sizes.groupBy("bucket").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("comps"))
+                    .where("comps > 1").drop("comps"), "mixed")
     open_ = written(lives.join(mixed, "bucket"), "open")
-    strays = open_.where("comp <> main").select("bucket", F.col("node").alias("node2"),
-                                                F.col("sketch").alias("sketch2"), F.col("comp").alias("comp2"))
-    more = pairs(open_.join(strays, "bucket").where((F.col("comp") != F.col("comp2"))
-                                                    & ((F.col("comp") == F.col("main")) | (F.col("node") < F.col("node2")))
-                                                    & near))
+
+    def rest(rows: DataFrame, *more: str) -> DataFrame:
+        """Candidates in different components of a bucket, one of them not in the main one."""
+        strays = rows.where("comp <> main").select("bucket", *[F.col(c).alias(c + "2") for c in ("node", "sketch", "comp", *more)])
+        once = (F.col("comp") == F.col("main")) | (F.col("node") < F.col("node2"))
+        return rows.join(strays, "bucket").where((F.col("comp") != F.col("comp2")) & once & near)
+
+    if bound is None:
+        more = pairs(rest(open_))
+    else:
+        large = open_.where(F.col("n") > LARGE)
+        known = written(bound(large.select("node").distinct()).where(F.col("size") - F.col("own") >= threshold * F.col("size")), "bounds")
+        large = written(large.join(known, "node"), "large")
+        both = F.least(F.col("size") - F.col("own"), F.col("size2") - F.col("own2"))
+        able = both >= threshold * (F.col("size") + F.col("size2") - both)
+        more = pairs(rest(open_.where(F.col("n") <= LARGE))).union(pairs(rest(large, "size", "own").where(able))).distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"), "strays")
     if more.isEmpty():
         return placed

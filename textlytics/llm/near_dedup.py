@@ -44,7 +44,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS = 64
 BANDS = 16
-SKETCH_BITS = 22
+SKETCH_BITS = 18
 #: registers that stay empty on average when points up to the first bound are drawn: e**-SLACK
 SLACK = 4.0
 
@@ -174,12 +174,18 @@ def signed(docs: DataFrame) -> DataFrame:
                            .add("bands", T.ArrayType(T.LongType())).add("sketch", "long"))
 
 
-def _verifier(docs: DataFrame, reps: DataFrame, threshold: float):
-    """Candidate pairs of representatives to those whose multisets overlap enough."""
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node"), "asked")
+class _Multisets:
+    """The multisets of documents asked for, as sorted hashes of (shingle, occurrence)."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame):
+        self.docs, self.reps = docs, reps
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, units binary) of distinct nodes; the documents are read again, and a bitmap
+        of fixed size passes over most of the others."""
+        ids = written(nodes.join(self.reps, "node"), "asked")
         mark = F.col("key64").bitwiseXOR(F.xxhash64("doc_id"))
-        asked = docs.sparkSession.sparkContext.broadcast(bitmap(ids.withColumn("mark", mark), "mark"))  # of fixed size
+        asked = nodes.sparkSession.sparkContext.broadcast(bitmap(ids.withColumn("mark", mark), "mark"))
 
         def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = asked.value
@@ -195,10 +201,31 @@ def _verifier(docs: DataFrame, reps: DataFrame, threshold: float):
                         pa.array([np.sort(unit[x:y]).tobytes() for x, y in zip(cut, cut[1:])], pa.binary())],
                         names=["doc_id", "key", "units"])
 
-        rows = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash"))
+        rows = self.docs.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash"))
         found = rows.mapInArrow(units, T.StructType([rows.schema["doc_id"]]).add("key", "binary").add("units", "binary"))
-        texts = written(ids.join(found, ids["doc_id"].eqNullSafe(found["doc_id"]) & (ids["key"] == found["key"]))
-                        .groupBy("node").agg(F.min("units").alias("units")), "units")
+        return written(ids.join(found, ids["doc_id"].eqNullSafe(found["doc_id"]) & (ids["key"] == found["key"]))
+                       .groupBy("node").agg(F.min("units").alias("units")), "units")
+
+    def bound(self, nodes: DataFrame) -> DataFrame:
+        """(node, size, own): the elements of a multiset, and those that no other node here has."""
+        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for node, raw in zip(batch.column("node").to_pylist(), batch.column("units")):
+                    units = np.frombuffer(raw.as_buffer(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), node)), pa.array(units)], names=["node", "unit"])
+
+        units = self.of(nodes)
+        own = (units.mapInArrow(explode, "node long, unit long").groupBy("unit")
+               .agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+               .groupBy("node").agg(F.count("*").alias("own")))
+        size = (F.octet_length("units") / 8).cast("long").alias("size")
+        return units.select("node", size).join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _verifier(sets: _Multisets, threshold: float):
+    """Candidate pairs of representatives to those whose multisets overlap enough."""
+    def verify(pairs: DataFrame) -> DataFrame:
+        texts = sets.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
 
         def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -231,7 +258,8 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reps = written(wordy.groupBy("key").agg(first).select("key", "r.*"), "representatives")
     members = (reps.select("node", "sketch", F.explode(F.array_distinct("bands")).alias("bucket"))
                .select("bucket", "node", "sketch"))
-    placed = connected(members, SKETCH_BITS, _verifier(docs, reps.select("node", "doc_id", "key", "key64"), threshold))
+    sets = _Multisets(docs, reps.select("node", "doc_id", "key", "key64"))
+    placed = connected(members, SKETCH_BITS, _verifier(sets, threshold), sets.bound, threshold)
     # the group of every text, and its smallest id
     of = written(reps.join(placed, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), "placed")
     named = written(of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("h"), "doc_id")).alias("c")), "named")
