@@ -13,7 +13,7 @@ components of the verified candidates:
    outside a bucket's largest component meet all its members of other components; the
    sketches are compared inside the join.  Pairs within one component need no test.
    In buckets of over ``LARGE`` members ``bound`` rules out pairs, if given: it has for every node its
-   size and how many of its elements no other node there has.  Two nodes
+   size, how many of its elements no other node there has, and a wide sketch.  Two nodes
    share at most the rest, which bounds their Jaccard similarity.
 4. Components of all verified links.
 
@@ -78,13 +78,15 @@ def _majority(rows: DataFrame) -> DataFrame:
 
 
 def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], DataFrame],
-              bound: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.0) -> DataFrame:
+              bound: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.0,
+              wide_limit: int = 0) -> DataFrame:
     """(node, root) of the nodes with a verified link.
 
     ``members``: bucket long, node long, sketch long, a node once in a bucket.
     ``verify``: from distinct pairs (a, b) with a < b those that are near copies.
-    ``bound``: from nodes to (node, size, own); near copies have a Jaccard similarity of
-    ``threshold`` at least."""
+    ``bound``: from nodes to (node, size, own, and longs w0_, w1_ .. of a wide sketch); near copies
+    have a Jaccard similarity of ``threshold`` at least, and their wide sketches differ in
+    ``wide_limit`` bits at most."""
     near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= limit
     shared = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "sketch")).alias("c"))
                      .where("n > 1"), "buckets")
@@ -124,7 +126,10 @@ def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], Data
         large = written(large.join(known, "node"), "large")
         both = F.least(F.col("size") - F.col("own"), F.col("size2") - F.col("own2"))
         able = both >= threshold * (F.col("size") + F.col("size2") - both)
-        more = pairs(rest(open_.where(F.col("n") <= LARGE))).union(pairs(rest(large, "size", "own").where(able))).distinct()
+        wide = [c for c in known.columns if c[0] == "w"]
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in wide), F.lit(0))
+        more = pairs(rest(open_.where(F.col("n") <= LARGE))).union(
+            pairs(rest(large, "size", "own", *wide).where(able & (apart <= wide_limit)))).distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"), "strays")
     if more.isEmpty():
         return placed
