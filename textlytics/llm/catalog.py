@@ -15,6 +15,7 @@ from textlytics.llm.quality_classifier import op5_quality_classifier
 from textlytics.llm.quality_rules import op4_quality_rules
 from textlytics.llm.secret_scan import op2_secret_scan
 from textlytics.llm.sharding import op6_sharding
+from textlytics.llm.suffix_dedup import op7_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_sharding": op6_sharding,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
