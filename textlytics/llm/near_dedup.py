@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlytics.llm.common import (U64, bitmap, documents, mix, passes, seeded, shingle_hashes, text_chunks,
+from textlytics.llm.common import (U64, bitmap, documents, mix, numbered, passes, seeded, shingle_hashes, text_chunks,
                                    word_hashes, written)
 from textlytics.llm.groups import connected
 
@@ -152,7 +152,7 @@ def _key64(keys: list[bytes]) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, key64, n_shingles, bands array<long>, sketch long), a row for each document."""
+    """(doc_id, row, key, key64, n_shingles, bands array<long>, sketch long), a row for each document."""
     mult = seeded(REGISTERS, 21) | U64(1)
     width = REGISTERS // BANDS
 
@@ -168,13 +168,13 @@ def signed(docs: DataFrame) -> DataFrame:
             sketch = ((sig & U64(1)) << np.arange(REGISTERS, dtype=U64)).sum(1, dtype=U64)
             count, keys = np.bincount(srow, minlength=rows), _keys(data, offs)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(_key64(keys)), pa.array(count),
+                batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.binary()), pa.array(_key64(keys)), pa.array(count),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, rows * BANDS + 1, BANDS, dtype=np.int32)),
                                          pa.array(band.reshape(-1).astype(np.int64))),
-                pa.array(sketch.astype(np.int64))], names=["doc_id", "key", "key64", "n_shingles", "bands", "sketch"])
+                pa.array(sketch.astype(np.int64))], names=["doc_id", "row", "key", "key64", "n_shingles", "bands", "sketch"])
 
-    rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"]]).add("key", "binary").add("key64", "long").add("n_shingles", "long")
+    rows = docs.select("doc_id", "text", "row")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"]]).add("row", "long").add("key", "binary").add("key64", "long").add("n_shingles", "long")
                            .add("bands", T.ArrayType(T.LongType())).add("sketch", "long"))
 
 
@@ -268,11 +268,24 @@ def _verifier(sets: _Multisets, threshold: float):
 
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, class_size, n_shingles), a row for each row of ``docs``.
+    """(doc_id, class_id, class_size, n_shingles), a row for each row of ``docs``."""
+    return _grouped(numbered(docs.select("doc_id", "text")), threshold).drop("row", "first")
 
-    With equal doc_ids the rows of a class stand in no fixed order."""
-    docs = docs.select("doc_id", "text")
-    rows = written(signed(docs).withColumn("node", F.monotonically_increasing_id()), "signatures")
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, with its columns, with one document of each group: the first with the smallest id.
+    ``docs`` is read from files."""
+    names = docs.columns
+    rows = numbered(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)],
+                                F.col("doc_id"), F.col("text")))
+    others = written(_grouped(rows.select("doc_id", "text", "row"), threshold).where("row <> first").select("row"), "others")
+    return (rows.join(others, "row", "left_anti")
+            .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)]))
+
+
+def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
+    """The classes with the number ``row`` of every document and ``first`` of its class."""
+    rows = written(signed(docs).withColumn("node", F.col("row")), "signatures")
     wordy = rows.where("n_shingles > 0")
     first = F.min(F.struct("doc_id", "node", "key64", "bands", "sketch")).alias("r")
     reps = written(wordy.groupBy("key").agg(first).select("key", "r.*"), "representatives")
@@ -280,18 +293,18 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                .select("bucket", "node", "sketch"))
     sets = _Multisets(docs, reps.select("node", "doc_id", "key", "key64"))
     placed = connected(members, SKETCH_BITS, _verifier(sets, threshold), sets.bound, threshold, WIDE_LIMIT)
-    # the group of every text, and its smallest id
-    of = written(reps.join(placed, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), "placed")
-    named = written(of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("h"), "doc_id")).alias("c")), "named")
-    classes = written(of.select("key", "root").join(named, "root").select("key", "root", F.col("c.doc_id").alias("class_id")),
+    # the group of every text, and its first document
+    of = written(reps.join(placed, "node", "left").select("key", "doc_id", "node", F.coalesce("root", "node").alias("root")), "placed")
+    named = written(of.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("f")), "named")
+    classes = written(of.join(named, "root").select("key", "root", F.col("f.doc_id").alias("class_id"), F.col("f.node").alias("first")),
                       "classes")
     sizes = written(wordy.groupBy("key").count().join(classes, "key").groupBy("root").agg(F.sum("count").alias("class_size")),
                     "sizes")
     classes = written(classes.join(sizes, "root"), "sized")
-    grouped = wordy.select("doc_id", "key", "n_shingles", "node").join(classes, "key")
-    cols = ["doc_id", "class_id", "class_size", "n_shingles"]
-    alone = rows.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"),
-                                                F.lit(1).cast("long").alias("class_size"), "n_shingles")
+    grouped = wordy.select("doc_id", "key", "n_shingles", "row").join(classes, "key")
+    cols = ["doc_id", "class_id", "class_size", "n_shingles", "row", "first"]
+    alone = rows.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"),
+                                                "n_shingles", "row", F.col("row").alias("first"))
     return grouped.select(*cols).union(alone)
 
 

@@ -243,6 +243,15 @@ def grade_documents(docs: DataFrame, model: OrdinalModel | None, n_grades: int =
     return rows.mapInArrow(run, schema)
 
 
+def kept_documents(docs: DataFrame, graded: DataFrame) -> DataFrame:
+    """``docs``, with its columns, without the documents that a model fitted on it rejects."""
+    names = docs.columns
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text"))
+    model = train(docs.select("doc_id", "text"), graded)
+    return (grade_documents(inner, model, with_text=False).where("kept")
+            .select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)]))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probability and verdict of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
