@@ -14,7 +14,8 @@ components of the verified candidates:
    sketches are compared inside the join.  Pairs within one component need no test.
    In buckets of over ``LARGE`` members ``bound`` rules out pairs, if given: it has for every node its
    size, how many of its elements no other node there has, and a wide sketch.  Two nodes
-   share at most the rest, which bounds their Jaccard similarity.
+   share at most the rest, which bounds their Jaccard similarity.  Without ``bound`` the
+   pairs of such buckets also agree on one of ``limit`` + 1 parts of their sketches.
 4. Components of all verified links.
 
 So every candidate pair has been tested or is connected already: no link is lost.
@@ -118,10 +119,15 @@ def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], Data
         once = (F.col("comp") == F.col("main")) | (F.col("node") < F.col("node2"))
         return rows.join(strays, "bucket").where((F.col("comp") != F.col("comp2")) & once & near)
 
+    large = open_.where(F.col("n") > LARGE)
     if bound is None:
-        more = pairs(rest(open_))
+        # sketches that differ in few bits agree on one of limit + 1 parts
+        width = 64 // (limit + 1)
+        parts = [F.xxhash64("bucket", F.lit(k), F.shiftrightunsigned("sketch", k * width).bitwiseAND(F.lit((1 << width) - 1)))
+                 for k in range(limit + 1)]
+        finer = large.withColumn("bucket", F.explode(F.array(*parts)))
+        more = pairs(rest(open_.where(F.col("n") <= LARGE))).union(pairs(rest(finer))).distinct()
     else:
-        large = open_.where(F.col("n") > LARGE)
         known = written(bound(large.select("node").distinct()).where(F.col("size") - F.col("own") >= threshold * F.col("size")), "bounds")
         large = written(large.join(known, "node"), "large")
         both = F.least(F.col("size") - F.col("own"), F.col("size2") - F.col("own2"))
