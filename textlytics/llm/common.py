@@ -21,7 +21,7 @@ from textlytics.session import ensure_checkpoint_dir
 
 U64 = np.uint64
 #: bytes of text that one vectorised step looks at (a single longer text is one step)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: multiplier of the prefix hash; odd, so that it has an inverse modulo 2**64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
