@@ -27,8 +27,18 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+#: rows of whole texts that go to a Python worker at once (Spark's 10,000 suit short rows)
+BATCH_ROWS = 1000
+
+
+def long_rows(spark: SparkSession) -> SparkSession:
+    """The session, set to hand texts to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return long_rows(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
