@@ -29,7 +29,8 @@ HEADLINE = [
     "term_distribution",    # R1: coverage with running share
     "batch_search",         # Q6: ranked search for a keyword table
     "keyword_detail_report",  # R4: keyword × title substring matches
-    "pairwise_cosine",      # M4: all-pairs document cosine
+    "pairwise_cosine",      # M4: all document pairs with a cosine of 0.8 or more
+    "term_cooccurrence_all",  # M2: partners of listed terms in the whole vocabulary
     "nb_classify",          # C2: Naive Bayes labelling of every document
 ]
 

@@ -17,7 +17,7 @@ from textlytics.operators.ordering import running_totals
 
 VOCAB = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa"]
 corpora = hs.lists(hs.lists(hs.sampled_from(VOCAB), min_size=0, max_size=8), min_size=2, max_size=12)
-SETTINGS = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck),
+SETTINGS = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck),
                     phases=[Phase.explicit, Phase.reuse, Phase.generate])
 
 
@@ -49,21 +49,28 @@ def test_cosine_and_cooccurrence_brute_force(spark, docs):
     d = docs_df(spark, [" ".join(x) for x in docs])
     post = postings(d)
     sets = _sets(docs)
-    cos = {(r.doc_a, r.doc_b): r.cosine for r in sm.pairwise_cosine(post).collect()}
-    want = {}
-    for i in range(len(sets)):
-        for j in range(i + 1, len(sets)):
-            ov = len(sets[i] & sets[j])
-            if ov:
-                want[(i, j)] = ov / math.sqrt(len(sets[i]) * len(sets[j]))
-    assert set(cos) == set(want)
-    for k, v in want.items():
-        assert math.isclose(cos[k], v) and 0 <= cos[k] <= 1 + 1e-12
-    pairs = {(r.term_a, r.term_b): r.n_docs for r in sm.term_cooccurrence_all(post).collect()}
-    want2 = Counter((a, b) for s in sets for a in s for b in s if a <= b)
-    assert pairs == dict(want2)
-    pruned = {(r.term_a, r.term_b): r.n_docs for r in sm.term_cooccurrence_all(post, 2).collect()}
-    assert pruned == {k: v for k, v in want2.items() if v >= 2}
+    for least in (0.01, 0.5, 0.8, 1.0):
+        cos = {(r.doc_a, r.doc_b): r.cosine for r in sm.pairwise_cosine(post, least).collect()}
+        want = {}
+        for i in range(len(sets)):
+            for j in range(i + 1, len(sets)):
+                ov = len(sets[i] & sets[j])
+                if ov and round(ov / math.sqrt(len(sets[i]) * len(sets[j])), 9) >= least:
+                    want[(i, j)] = ov / math.sqrt(len(sets[i]) * len(sets[j]))
+        assert set(cos) == set(want)
+        assert all(math.isclose(cos[k], v, abs_tol=1e-8) for k, v in want.items())
+    listed = VOCAB[:4]
+    terms = spark.createDataFrame(list(enumerate(listed)), "pos long, term string")
+    pairs = {(r.term_a, r.term_b): r.n_docs for r in sm.term_cooccurrence_all(post, terms).collect()}
+    want2 = Counter((a, b) for s in sets for a in s for b in s)
+    assert pairs == {k: v for k, v in want2.items() if k[0] in listed}
+    cells = {(r.term_a, r.term_b): r.n_docs for r in sm.term_cooccurrence(post, terms).collect()}
+    assert cells == {(a, b): want2.get((a, b), 0) for i, a in enumerate(listed) for b in listed[i:]}
+    chosen = spark.createDataFrame([(0, 1), (1, 0), (2, 99)], "pos long, doc_id long")
+    got = {(r.doc_a, r.doc_b): r.value for r in sm.cosine_matrix(post, chosen).collect()}
+    ov = len(sets[0] & sets[1])
+    assert set(got) == {(1, 0), (1, 99), (0, 99)} and got[(1, 99)] == 0
+    assert math.isclose(got[(1, 0)], ov / math.sqrt(len(sets[0]) * len(sets[1])) if ov else 0.0)
 
 
 @SETTINGS
@@ -107,15 +114,31 @@ def test_naive_bayes_sparse_equals_naive(spark, docs, labels):
         assert math.isclose(pred[i][1], best[1], rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_detail_report_fallback_equals_broadcast(spark):
-    titles = ["Payment Policy broken", "transcript status wrong", "nothing", "policy policy"]
-    t = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
-    kws = ["policy", "payment policy", "status", "policy", "zzz"]
+def test_detail_report_rows_do_not_depend_on_the_list_length(spark, monkeypatch):
+    titles = ["Payment Policy broken", "transcript status wrong", "nothing", "policy policy", None, "", "é😀x zz"]
+    t = spark.createDataFrame([*enumerate(titles), (0, titles[0])], "id long, title string")  # a repeated id
+    kws = ["policy", "payment policy", "status", "policy", "zzz", "zz", "z", "😀x", "", "é"]
     kw = spark.createDataFrame(list(enumerate(kws)), "kw_idx long, keyword string")
-    a = sorted(tuple(r) for r in rp.keyword_detail_report(t, kw).collect())
-    b = sorted(tuple(r) for r in rp.keyword_detail_report(t, kw, max_broadcast=0).collect())
-    assert a == b
-    assert len(a) == 6  # duplicate keyword counted per occurrence in the list
+    want = sorted((i, x, k) for i, x in [*enumerate(titles), (0, titles[0])] for k in kws if k and x and k in x.lower())
+    for in_row in (500, 0):
+        got = rp.keyword_matches(t, kw, "id", "title", in_row=in_row).select("id", "title", "keyword").collect()
+        assert sorted(map(tuple, got)) == want
+    many = spark.range(1001).selectExpr("id AS kw_idx", "concat('policy', if(id < 7, '', string(id))) AS keyword")
+    assert rp.keyword_detail_report(t, many).count() == 7 * 3
+    assert rp.keyword_detail_report(t, many.limit(0)).count() == 0
+
+
+def test_long_term_list(spark):
+    d = docs_df(spark, ["alpha beta", "beta"])
+    terms = spark.range(1001).selectExpr("id AS pos", "if(id = 0, 'alpha', if(id = 1, 'beta', concat('t', id))) AS term")
+    cells = sm.term_cooccurrence(postings(d), terms).where("n_docs > 0").collect()
+    assert {(r.term_a, r.term_b): r.n_docs for r in cells} == {("alpha", "alpha"): 1, ("alpha", "beta"): 1, ("beta", "beta"): 2}
+
+
+def test_top_terms_cutoff_keeps_one_of_tied_terms(spark):
+    post = postings(docs_df(spark, ["alpha beta", "alpha beta", "alpha beta gamma", "gamma"]))
+    for cutoff, want in ((1.0, ["alpha"]), (2.0, ["alpha"]), (0.5, ["alpha", "beta", "gamma"]), (0.7, ["alpha", "beta"])):
+        assert [r.term for r in st.top_terms_cutoff(post, cutoff).collect()] == want
 
 
 def test_summary_report_each_keyword_df_one(spark):
@@ -126,25 +149,3 @@ def test_summary_report_each_keyword_df_one(spark):
     rows = rp.keyword_summary_report(postings(d), d, kw).collect()
     assert len(rows) == 6 and all(r.n_reports == 1 and r.n_new_covered == 1 for r in rows)
     assert math.isclose(max(r.pct_total_covered for r in rows), 6 / 7)
-
-
-@SETTINGS
-@given(corpora)
-def test_blocked_cosine_equals_join(spark, docs):
-    d = docs_df(spark, [" ".join(x) for x in docs])
-    post = postings(d)
-    key = lambda r: (r.doc_a, r.doc_b, r.overlap, round(r.cosine, 12))
-    blocked = sorted(map(key, sm.pairwise_cosine(post, block_docs=3, dense_terms=2).collect()))
-    joined = sorted(map(key, sm.pairwise_cosine(post, method="join").collect()))
-    assert blocked == joined
-
-
-def test_summary_report_unbounded_path_equals_window(spark, monkeypatch):
-    texts = ["alpha beta", "beta gamma", "gamma", "delta alpha", "none"]
-    d = docs_df(spark, texts)
-    kw = spark.createDataFrame(list(enumerate(["alpha", "beta", "gamma", "delta"])), "kw_idx long, keyword string")
-    post = postings(d)
-    small = sorted(tuple(r) for r in rp.keyword_summary_report(post, d, kw).collect())
-    monkeypatch.setattr(rp, "MAX_BROADCAST_KEYWORDS", 0)
-    big = sorted(tuple(r) for r in rp.keyword_summary_report(post, d, kw).collect())
-    assert small == big and len(small) == 4

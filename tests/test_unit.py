@@ -11,18 +11,18 @@ from textlytics.sources import tables as tb
 
 
 def test_include_exclude_filter(spark):
-    base = spark.createDataFrame([(v,) for v in ["1", "2", "3", "4"]], "v string")
-    lst = spark.createDataFrame([("1",), ("2",)], "value string")
-    assert sorted(r.v for r in tb.include_filter(base, "v", lst).collect()) == ["1", "2"]
-    assert sorted(r.v for r in tb.exclude_filter(base, "v", lst).collect()) == ["3", "4"]
+    base = spark.createDataFrame([(v,) for v in ["oak", "elm", "ash", "fir"]], "v string")
+    lst = spark.createDataFrame([("elm",), ("fir",)], "value string")
+    assert sorted(r.v for r in tb.include_filter(base, "v", lst).collect()) == ["elm", "fir"]
+    assert sorted(r.v for r in tb.exclude_filter(base, "v", lst).collect()) == ["ash", "oak"]
 
 
 def test_sheet_round_trip(spark):
     path = scratch_path(spark, "t-sheet")
-    sheet = spark.createDataFrame([("1.1", "1.2", "1.3"), ("2.1", "2.2", "2.3")], "a string, b string, c string")
+    sheet = spark.createDataFrame([("p", "q", "r"), ("s", "t", "u")], "a string, b string, c string")
     fl.write_delimited(sheet, path)
     back = fl.read_delimited_records(spark, path)
-    assert sorted(r.a for r in back.collect()) == ["1.1", "2.1"]
+    assert sorted(r.a for r in back.collect()) == ["p", "s"]
     assert back.columns == ["a", "b", "c"]
 
 
@@ -31,7 +31,7 @@ def test_csv_keeps_whitespace_quotes_and_newlines(spark):
     rows = [(1, '  lead and "quoted", comma\nnext line  '), (2, None), (3, "")]
     df = spark.createDataFrame(rows, "id long, text string")
     fl.write_delimited(df, path)
-    back = {int(r.id): r.text for r in fl.read_delimited_records(spark, path).collect()}
+    back = {int(r.id): r.text for r in fl.read_delimited_records(spark, path, multi_line=True).collect()}
     assert back[1] == rows[0][1] and back[2] is None
 
 
@@ -80,18 +80,50 @@ def test_normalise_cells(spark):
     assert (r.i, r.b, r.d, r.s, r.dt) == ("1", "true", "2.5", "", "03-15-1996")
 
 
-def test_saved_index_prunes_and_searches_the_same(spark):
+def test_saved_index_of_two_fields(spark):
     from textlytics.operators import search as se
-    from textlytics.operators.index import load_index, postings, save_index
-    d = docs_df(spark, ["red apple pie", "green apple", "blue sky", "red sky at night"])
+    from textlytics.operators.index import append_documents, index_documents, load_index, postings, save_index
+    rows = [(0, "red apple pie", "blue"), (1, "green apple", None), (2, "blue sky", "red"), (3, "red sky at night", "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, note string")
     path = scratch_path(spark, "t-index")
-    save_index(postings(d), path, partitions=2)
-    idx = load_index(spark, path)
-    plan = idx.where(F.col("term").isin("apple"))._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(term,apple)" in plan.split("PushedFilters")[1]
-    a = se.search_keyword(postings(d), d, "red apple", 10).collect()
-    b = se.search_keyword(idx, d, "red apple", 10).collect()
-    assert [tuple(r) for r in a] == [tuple(r) for r in b]
+    save_index(index_documents(d.where("doc_id < 2")), path)
+    append_documents(path, d.where("doc_id >= 2"))
+    text, note = load_index(spark, path, "text"), load_index(spark, path, "note")
+    plan = text.where(F.col("term").isin("apple"))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,apple)" in plan.split("PushedFilters")[1] and "field" in plan.split("PartitionFilters")[1]
+    assert sorted(map(tuple, text.collect())) == sorted(map(tuple, postings(d).collect()))
+    for index, column in ((text, "text"), (note, "note")):
+        a = se.search_keyword(postings(d, text_col=column), d, "red apple", 10).collect()
+        assert a and [tuple(r) for r in a] == [tuple(r) for r in se.search_keyword(index, d, "red apple", 10).collect()]
+    table = se.search_results_table(text, d, "Apple", 10, fields=("note", "text")).collect()
+    assert {(r.doc_id, r.note, r.text, r.matched) for r in table} == {(0, "blue", "red apple pie", 2), (1, None, "green apple", 2)}
+    best = se.best_doc_for_term(text, d, spark.createDataFrame([("APPLE",), ("none",)], "term string")).collect()
+    assert [(r.term, r.doc_id) for r in best] == [("APPLE", 1)]
+
+
+def test_short_rows_splits_and_keyword_column(spark, tmp_path):
+    lines = ["a,b,c", "1,2", "3", "4,5,6,7"] + [f"{i},x{i},y" for i in range(20000)]
+    (tmp_path / "t.csv").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = fl.read_delimited_records(spark, str(tmp_path / "t.csv"))
+        assert df.rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+    assert {tuple(r) for r in df.limit(3).collect()} == {("1", "2", None), ("3", None, None), ("4", "5", "6")}
+    (tmp_path / "k.csv").write_text("One,First Word\nTwo\nThree,SECOND\n")
+    assert [r.keyword for r in fl.read_keywords(spark, str(tmp_path / "k.csv"), column=1).collect()] == ["first word", "second"]
+
+
+def test_stream_timeout_raises(spark, tmp_path):
+    import pytest
+    from textlytics.streaming.terms import run_term_doc_freq
+    d = docs_df(spark, [f"word{i} common" for i in range(60)])
+    d.repartition(30).write.parquet(str(tmp_path / "in"))
+    with pytest.raises(TimeoutError):
+        run_term_doc_freq(spark, str(tmp_path / "in"), d.schema, str(tmp_path / "out"), max_files_per_trigger=1, timeout_s=1)
+    got = run_term_doc_freq(spark, str(tmp_path / "in"), d.schema, str(tmp_path / "out2"))
+    assert {r.term: r.df for r in got.collect()}["common"] == 60
 
 
 def test_chomp_removes_one_line_break(spark):

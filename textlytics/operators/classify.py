@@ -11,7 +11,7 @@ u = postings / documents-with-terms of the text field:
 
 The last form only needs the (class, term) pairs that exist, so training is
 two aggregates and scoring is one join on term — no vocabulary × class
-product.  The class list is small (checked) and travels as one array value
+product.  The class list is that of the labels and travels as one array value
 (a scalar sub-query); per document the argmax over it is a higher-order
 function, ties going to the lowest class.
 """
@@ -24,17 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import analyze
-from .index import analyzed_docs
-from .ordering import is_bounded
-
-MAX_CLASSES = 10_000
 
 
 @dataclass
 class NBModel:
     classes: DataFrame      # (class, n_docs, log_prior, log_den)
     class_terms: DataFrame  # (class, term, hits)
-    class_names: DataFrame  # (class) — cheap to count, no text involved
 
 
 def class_tokens(labelled: DataFrame, id_col: str = "doc_id", class_col: str = "category") -> DataFrame:
@@ -44,35 +39,26 @@ def class_tokens(labelled: DataFrame, id_col: str = "doc_id", class_col: str = "
 
 
 def nb_train(post: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
-             class_col: str = "category", docs: DataFrame | None = None,
-             text_col: str = "text") -> NBModel:
+             class_col: str = "category") -> NBModel:
     """Train on (doc_id, category); ``post`` holds the text field of the
-    whole index (labelled or not), which defines u.  When the corpus ``docs``
-    is given, u is summed per document in-row (no shuffle)."""
+    whole index (labelled or not), which defines u."""
     ct = class_tokens(labelled, id_col, class_col)
     d_all = ct.select(F.countDistinct("doc_id")).scalar()
     # u = postings / documents with terms; no postings at all → 0 (not a division by zero)
-    if docs is not None:
-        a = analyzed_docs(docs, id_col, text_col)
-        u_num, u_den = F.sum("doc_terms"), F.count_if(F.col("doc_terms") > 0)
-    else:
-        a = post
-        u_num, u_den = F.count(F.lit(1)), F.countDistinct("doc_id")
-    u = a.agg(F.coalesce(F.try_divide(u_num.cast("double"), u_den), F.lit(0.0)).alias("u")).scalar()
+    u_num, u_den = F.count(F.lit(1)), F.countDistinct("doc_id")
+    u = post.agg(F.coalesce(F.try_divide(u_num.cast("double"), u_den), F.lit(0.0)).alias("u")).scalar()
     classes = (ct.groupBy("class").agg(F.countDistinct("doc_id").cast("long").alias("n_docs"))
                .select("class", "n_docs",
                        (F.log(F.col("n_docs").cast("double")) - F.log(d_all.cast("double"))).alias("log_prior"),
                        F.log(u * F.col("n_docs") + d_all).alias("log_den")))
     class_terms = (post.select("doc_id", "term").join(ct, "doc_id")
                    .groupBy("class", "term").agg(F.count(F.lit(1)).cast("long").alias("hits")))
-    return NBModel(classes, class_terms, ct.select("class").distinct())
+    return NBModel(classes, class_terms)
 
 
-def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """(doc_id, predicted, score) for every document of ``docs``."""
-    if not is_bounded(model.class_names, MAX_CLASSES):
-        raise ValueError(f"more than {MAX_CLASSES} classes")
+def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, predicted, score) for every document of ``docs`` (of which only the
+    ids are read: lengths are on the postings)."""
     cls = model.classes.select(F.array_sort(F.collect_list(
         F.struct("class", "log_prior", "log_den"))).alias("c")).scalar()
     target = docs.select(F.col(id_col).cast("long").alias("doc_id"))
@@ -82,7 +68,8 @@ def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str =
                .agg(F.sum(F.col("tf") * F.log(F.col("hits").cast("double") + 1.0)).alias("s"))
                .groupBy("doc_id")
                .agg(F.map_from_entries(F.collect_list(F.struct("class", "s"))).alias("m")))
-    lens = analyzed_docs(docs, id_col, text_col).select("doc_id", "doc_len")
+    lens = (target.join(post.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len")), "doc_id", "left")
+            .select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len")))
     # the class array is projected first: sub-queries may not sit inside a lambda
     scored = lens.join(partial, "doc_id", "left").withColumn("_cls", cls).select(
         "doc_id",
@@ -94,11 +81,11 @@ def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str =
 
 
 def nb_label_unlabelled(post: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
-                        class_col: str = "category", text_col: str = "text") -> DataFrame:
+                        class_col: str = "category") -> DataFrame:
     """Train on the labelled documents, predict those without a category."""
-    model = nb_train(post, labels.where(F.col(class_col).isNotNull()), id_col, class_col, docs, text_col)
+    model = nb_train(post, labels.where(F.col(class_col).isNotNull()), id_col, class_col)
     unl = docs.join(labels.where(F.col(class_col).isNotNull()).select(id_col), id_col, "left_anti")
-    return nb_classify(post, unl, model, id_col, text_col)
+    return nb_classify(post, unl, model, id_col)
 
 
 def confusion_matrix(pred: DataFrame, actual: DataFrame, categories, id_col: str = "doc_id",

@@ -15,29 +15,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import MAX_TOKEN_LENGTH, STOP_WORDS, TOKEN_PATTERN, analyze, keep_token, raw_tokens
 
 POSTINGS_COLUMNS = ("doc_id", "term", "tf", "doc_len", "doc_terms")
 
 
+#: operators over which a scan keeps its partitions
+_NARROW = {"Project", "Filter", "LogicalRelation", "SubqueryAlias", "View"}
+
+
+def _scans_only(plan) -> bool:
+    children = plan.children()
+    return plan.nodeName() in _NARROW and all(_scans_only(children.apply(i)) for i in range(children.size()))
+
+
 def spread(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Guarantee enough tasks for the CPU-bound analyser.
 
     A corpus stored as a few large row groups scans as a few partitions and
     would be tokenised by a few cores.  Only then it is hash-partitioned by
     document id (deterministic under retries; ids are unique, so balanced).
-    A large corpus already scans as thousands of splits and is left as is."""
-    try:
-        # a plan with a join or aggregate already comes out of a shuffle (and
-        # counting its partitions would make adaptive execution run it): leave it
-        planned = docs._jdf.queryExecution().sparkPlan().toString()
-        if any(k in planned for k in ("Join", "Aggregate", "Exchange", "Window")):
-            return docs
-        target = docs.sparkSession.sparkContext.defaultParallelism
-        if docs.rdd.getNumPartitions() >= target:
-            return docs
-    except Exception:  # noqa: BLE001 - sessions without JVM/RDD access (Spark Connect)
+    A large corpus already scans as thousands of splits and is left as is, and
+    so is a plan with a shuffle (counting its partitions would run it)."""
+    if not hasattr(docs, "_jdf") or not _scans_only(docs._jdf.queryExecution().optimizedPlan()):
+        return docs
+    target = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() >= target:
         return docs
     return docs.repartition(target, F.col(id_col))
 
@@ -68,32 +73,45 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select(*POSTINGS_COLUMNS))
 
 
+INDEX_COLUMNS = ("doc_id", "field", "term", "tf", "doc_len", "doc_terms")
+
+
 def index_documents(docs: DataFrame, id_col: str = "doc_id",
                     fields: Sequence[str] | None = None, pattern: str = TOKEN_PATTERN,
                     stop=STOP_WORDS, max_len: int = MAX_TOKEN_LENGTH) -> DataFrame:
-    """S3: postings for every listed field of every record → (doc_id, field, term, tf).
+    """S3: postings for every listed field (default: all but the id) of every record,
+    (doc_id, field, term, tf, doc_len, doc_terms).
 
-    Non-string fields are indexed by their text form; NULL cells give no terms."""
+    The postings of one field (:func:`field_postings`) are what every other operator
+    reads.  Non-string fields are indexed by their text form; NULL cells give no terms."""
     if fields is None:
         fields = [c for c in docs.columns if c != id_col]
     cells = F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields
     ])).alias("cell")
-    stop = tuple(stop)
     toks = (spread(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), cells)
             .select("doc_id", F.col("cell.field").alias("field"),
-                    F.explode_outer(analyze(F.col("cell.value"), pattern, stop, max_len)).alias("term"))
+                    analyze(F.col("cell.value"), pattern, tuple(stop), max_len).alias("terms"))
+            .withColumn("doc_len", F.size("terms").cast("long"))
+            .withColumn("doc_terms", F.size(F.array_distinct("terms")).cast("long"))
+            .select("doc_id", "field", "doc_len", "doc_terms", F.explode_outer("terms").alias("term"))
             .where(F.col("term").isNotNull()))
-    return toks.groupBy("doc_id", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return (toks.groupBy("doc_id", "field", "term")
+            .agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"), F.max("doc_terms").alias("doc_terms"))
+            .select(*INDEX_COLUMNS))
+
+
+def field_postings(index: DataFrame, field: str) -> DataFrame:
+    """The postings of one field of an index, as :func:`postings` gives them."""
+    return index.where(F.col("field") == field).select(*POSTINGS_COLUMNS)
 
 
-def append_documents(index: DataFrame, new_docs: DataFrame, id_col: str = "doc_id",
-                     fields: Sequence[str] | None = None, **analyzer) -> DataFrame:
-    """The existing index plus the postings of newly added documents.
+def append_documents(path: str, new_docs: DataFrame, id_col: str = "doc_id",
+                     fields: Sequence[str] | None = None, **analyzer) -> None:
+    """Add the postings of new documents to the index saved at ``path``.
 
-    Batch form of adding documents; new rows never touch existing postings, so
-    this is a plain union (``write.mode('append')`` when the index is a table)."""
-    return index.unionByName(index_documents(new_docs, id_col, fields, **analyzer))
+    New rows never touch existing postings, so this only writes new files."""
+    save_index(index_documents(new_docs, id_col, fields, **analyzer), path, mode="append")
 
 
 def term_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -108,18 +126,23 @@ def term_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .select("doc_id", F.col("pos").cast("long").alias("pos"), "term"))
 
 
-def save_index(post: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Persist postings as the corpus' inverted index (S3 sink).
+def save_index(index: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Persist an index (or the postings of one field) as the corpus' inverted index.
 
-    Range-partitioned and sorted by term, so every file holds a contiguous
-    term range and its row groups carry tight min/max term statistics: a
-    later ``term IN (...)`` filter is pushed into the scan and skips files and
-    row groups, the way a term dictionary lookup touches only its postings."""
-    n = partitions or int(post.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    (post.repartitionByRange(n, "term").sortWithinPartitions("term", "doc_id")
-     .write.mode("overwrite").parquet(path))
+    A folder for each field, range-partitioned and sorted by term within it: every
+    file holds a contiguous term range and its row groups carry tight min/max term
+    statistics, so a field filter prunes folders and a later ``term IN (...)``
+    filter is pushed into the scan and skips files and row groups."""
+    if "field" not in index.columns:
+        index = index.withColumn("field", F.lit("text"))
+    (index.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id")
+     .write.mode(mode).partitionBy("field").parquet(path))
 
 
-def load_index(spark, path: str) -> DataFrame:
-    """Read postings written by :func:`save_index`."""
-    return spark.read.parquet(path)
+def load_index(spark, path: str, field: str | None = None) -> DataFrame:
+    """Read an index written by :func:`save_index`; with ``field``, its postings."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("term", T.StringType())]
+                          + [T.StructField(c, T.LongType()) for c in ("tf", "doc_len", "doc_terms")]
+                          + [T.StructField("field", T.StringType())])
+    index = spark.read.schema(schema).parquet(path)
+    return index.select(*INDEX_COLUMNS) if field is None else field_postings(index, field)

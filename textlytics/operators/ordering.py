@@ -22,6 +22,18 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+#: rows of one range of :func:`running_totals`, about
+RANGE_ROWS = 1_000_000
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder: the lineage is cut, and a join on it reads a
+    plain table.  Adaptive execution can then split the partition of a hot key on the other
+    side, which it does not if this side is an aggregate just above its own shuffle."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def is_bounded(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -40,12 +52,12 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: Mapping[str, st
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     sums = dict(sums or {})
-    if partitions is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     # the range sampler and the shuffle both read the input: persist it so it
     # is computed once, then cut the lineage with a reliable checkpoint
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if partitions is None:  # as many ranges as keep each at RANGE_ROWS rows about
+            partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-src.count() // RANGE_ROWS))
         ranged = (src.repartitionByRange(partitions, *order)
                   .withColumn("_rng", F.spark_partition_id())
                   .checkpoint(eager=True))

@@ -10,18 +10,16 @@ one-task window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import is_bounded, running_totals
+from .ordering import cut, running_totals
 from .stats import doc_freqs, n_docs
 
-MAX_BROADCAST_KEYWORDS = 10_000
-
 
 def _first_cover(post: DataFrame, dfs: DataFrame) -> DataFrame:
     """(term, n_new): documents whose first covering term (in df-desc, term-asc
-    order) is ``term``."""
+    order) is ``term``.  ``dfs`` is written (see :func:`ordering.cut`)."""
     first = (post.select("doc_id", "term").join(dfs, "term")
              .groupBy("doc_id")
              .agg(F.min(F.struct((-F.col("df")).alias("k"), F.col("term"))).getField("term").alias("term")))
@@ -30,7 +28,7 @@ def _first_cover(post: DataFrame, dfs: DataFrame) -> DataFrame:
 
 def term_distribution(post: DataFrame, docs: DataFrame) -> DataFrame:
     """(rank, term, df, n_new, covered, covered_share) for every term."""
-    dfs = doc_freqs(post)
+    dfs = cut(doc_freqs(post))
     rows = dfs.join(_first_cover(post, dfs), "term", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
     ranked = running_totals(rows, [F.desc("df"), F.asc("term")], {"covered": "n_new"})
     return ranked.select(F.col("rank").cast("long").alias("rank"), "term", "df", "n_new",
@@ -38,68 +36,78 @@ def term_distribution(post: DataFrame, docs: DataFrame) -> DataFrame:
                          (F.col("covered") / n_docs(docs)).alias("covered_share"))
 
 
-def _listed(post: DataFrame, keywords: DataFrame) -> tuple[DataFrame, bool]:
-    """Postings of listed terms, and whether the list is within the broadcast bound."""
-    kw = keywords.select(F.col("keyword").alias("term")).distinct()
-    small = is_bounded(kw, MAX_BROADCAST_KEYWORDS)
-    return post.join(F.broadcast(kw) if small else kw, "term", "left_semi"), small
+def _listed(post: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Postings of listed terms (the planner broadcasts the list if its size allows)."""
+    return post.join(keywords.select(F.col("keyword").alias("term")).distinct(), "term", "left_semi")
 
 
 def keyword_summary_report(post: DataFrame, docs: DataFrame, keywords: DataFrame) -> DataFrame:
     """R2: keywords that occur as terms, in df order: (rank, keyword,
     n_reports, n_new_covered, pct_total_covered).  Multi-word keywords never
-    match a single term (as in the original).  Bounded by the keyword list, so
-    the running window over it is small; a list beyond the bound goes through
-    the distributed running totals instead."""
-    listed, small = _listed(post, keywords)
-    dfs = doc_freqs(listed)
+    match a single term (as in the original)."""
+    listed = _listed(post, keywords)
+    dfs = cut(doc_freqs(listed))
     rows = dfs.join(_first_cover(listed, dfs), "term", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
-    if not small:
-        ranked = running_totals(rows, [F.desc("df"), F.asc("term")], {"covered": "n_new"})
-        return ranked.select(F.col("rank").cast("long").alias("rank"), F.col("term").alias("keyword"),
-                             F.col("df").alias("n_reports"), F.col("n_new").alias("n_new_covered"),
-                             (F.col("covered") / n_docs(docs)).alias("pct_total_covered"))
-    w = Window.orderBy(F.desc("df"), F.asc("term"))
-    return rows.select(
-        F.row_number().over(w).cast("long").alias("rank"),
-        F.col("term").alias("keyword"), F.col("df").alias("n_reports"),
-        F.col("n_new").alias("n_new_covered"),
-        (F.sum("n_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) / n_docs(docs)).alias("pct_total_covered"))
+    ranked = running_totals(rows, [F.desc("df"), F.asc("term")], {"covered": "n_new"})
+    return ranked.select(F.col("rank").cast("long").alias("rank"), F.col("term").alias("keyword"),
+                         F.col("df").alias("n_reports"), F.col("n_new").alias("n_new_covered"),
+                         (F.col("covered") / n_docs(docs)).alias("pct_total_covered"))
 
 
 def keyword_report_totals(post: DataFrame, docs: DataFrame, keywords: DataFrame) -> DataFrame:
     """First header line — matched keywords (listed terms present) and total reports."""
-    matched = _listed(post, keywords)[0].select("term").distinct()
+    matched = _listed(post, keywords).select("term").distinct()
     return matched.agg(F.count(F.lit(1)).cast("long").alias("matched_keywords")).select(
         "matched_keywords", n_docs(docs).cast("long").alias("total_reports"))
 
 
-def keyword_detail_report(tickets: DataFrame, keywords: DataFrame,
-                          max_broadcast: int = MAX_BROADCAST_KEYWORDS) -> DataFrame:
+GRAM = 3
+#: entries of a keyword list that are tested one by one in each row
+IN_ROW_KEYWORDS = 500
+
+
+def _grams(text, lengths):
+    """The hashes of all substrings of these lengths of a text: for each length, the
+    matches of that many characters from each of the first places on."""
+    runs = [F.regexp_extract_all(F.substring(text, start + 1, 2**31 - 1) if start else text,
+                                 F.lit("(?s)" + "." * length), F.lit(0))
+            for length in lengths for start in range(length)]
+    return F.transform(F.concat(*runs), lambda g: F.xxhash64(g))
+
+
+def keyword_matches(tickets: DataFrame, keywords: DataFrame, *carry: str, in_row: int = IN_ROW_KEYWORDS) -> DataFrame:
+    """(carry.., keyword): a row for each ticket and keyword entry that its lower-cased ``title``
+    contains.  The rows are the same for a list of any length; how they are found is not:
+
+    * up to ``in_row`` entries travel as one array and are tested in the row;
+    * of a longer list each keyword is found by its first GRAM characters (all, if it has
+      fewer), which every title that contains it has among its substrings.  A title keeps
+      the substrings that begin some keyword; the equi-join on their hashes is verified.
+      What each task gets whole are the distinct beginnings, whose number is
+      bounded by the alphabet and not by the list."""
+    listed = keywords.select("keyword").where(F.length("keyword") > 0)
+    rows = tickets.select(*carry, F.lower(F.coalesce("title", F.lit(""))).alias("_lower"))
+    few = [r["keyword"] for r in listed.orderBy("keyword").limit(in_row + 1).collect()]
+    if len(few) <= in_row:
+        entries = F.array(*[F.lit(k) for k in few]).cast("array<string>")
+        held = F.filter(entries, lambda k: F.contains(F.col("_lower"), k))
+        return rows.select(*carry, F.explode_outer(held).alias("keyword")).where(F.col("keyword").isNotNull())
+    first = F.substring("keyword", 1, GRAM)
+    kw = listed.select("keyword", first.alias("_first"), F.xxhash64(first).alias("_gram"))
+    found = kw.select("_gram", F.length("_first").alias("n")).distinct().orderBy("_gram").collect()
+    begins = F.array(*[F.lit(r["_gram"]) for r in found]).cast("array<bigint>")
+    held = F.array_intersect(_grams(F.col("_lower"), sorted({r["n"] for r in found})), begins)
+    # explode_outer: plain explode would add a filter that makes the substrings twice
+    grams = rows.select(*carry, "_lower", F.explode_outer(held).alias("_gram")).where(F.col("_gram").isNotNull())
+    return (grams.join(kw.select("keyword", "_gram"), "_gram")
+            .where(F.contains(F.col("_lower"), F.col("keyword"))).select(*carry, "keyword"))
+
+
+def keyword_detail_report(tickets: DataFrame, keywords: DataFrame) -> DataFrame:
     """Every (report, keyword occurrence) where the lower-cased title
     contains the keyword: (id, title, keyword), one row per keyword occurrence
-    in the list (``keywords`` = (kw_idx, keyword), repeats allowed).
-
-    Up to ``max_broadcast`` keywords the list is broadcast and matched with a
-    nested-loop join (linear in reports).  Beyond it, an exact equi-join: each
-    title emits its substrings of exactly the lengths that keywords have, and
-    is joined on (length, substring) — no broadcast, no pairs."""
-    kw = keywords.select("keyword", "kw_idx").where(F.length("keyword") > 0)
-    t = tickets.select("id", "title", F.lower(F.coalesce("title", F.lit(""))).alias("_lt"))
-    if is_bounded(kw, max_broadcast):
-        out = t.join(F.broadcast(kw), F.col("_lt").contains(F.col("keyword")))
-        return out.select("id", "title", "keyword")
-    lens = [r[0] for r in kw.select(F.length("keyword").alias("L")).distinct().collect()]
-    subs = t.select("id", "title", F.explode(F.array(*[_substrings("_lt", L) for L in sorted(lens)])).alias("_arr"))
-    subs = subs.select("id", "title", F.explode("_arr").alias("keyword")).where(F.length("keyword") > 0)
-    out = subs.join(kw, "keyword").dropDuplicates(["id", "kw_idx"])
-    return out.select("id", "title", "keyword")
-
-
-def _substrings(col: str, length: int):
-    """All substrings of ``col`` with exactly ``length`` characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(col) - F.lit(length) + 1, F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(F.col(col), i, length))
+    in the list (``keywords`` = (kw_idx, keyword), repeats allowed)."""
+    return keyword_matches(tickets, keywords, "id", "title")
 
 
 def report_labels(tickets: DataFrame, detail: DataFrame) -> DataFrame:

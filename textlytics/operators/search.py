@@ -17,15 +17,15 @@ doc_id identically in every engine.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, TOKEN_PATTERN, analyze, ticket_text, idf, length_norm, tf_weight
-from .ordering import is_bounded
+from ..functions.text import STOP_WORDS, TOKEN_PATTERN, analyze, idf, length_norm, tf_weight
 from .stats import doc_freqs, n_docs
 
 SCORE_DECIMALS = 6
-MAX_QUERY_TERMS = 100_000  # bound for broadcasting a keyword → term table
 
 
 def keyword_terms(keywords: DataFrame, col: str = "keyword", pattern: str = TOKEN_PATTERN,
@@ -39,20 +39,18 @@ def keyword_terms(keywords: DataFrame, col: str = "keyword", pattern: str = TOKE
 
 def _scored(post: DataFrame, docs: DataFrame, kw_terms: DataFrame, quantized: bool = True) -> DataFrame:
     """(keyword, doc_id, score, matched) for every document matching ≥ 1 term of a keyword."""
-    # keyword tables are query parameters: broadcast only after a size check
-    bc = F.broadcast if is_bounded(kw_terms, MAX_QUERY_TERMS) else (lambda d: d)
-    kt = bc(kw_terms.select("keyword", "term"))
+    # the planner broadcasts the query side where its size allows
+    kt = kw_terms.select("keyword", "term")
     qt = kw_terms.select("term").distinct()
     # df only for the query terms: semi-join first, then aggregate
-    qdf = doc_freqs(post.join(bc(qt), "term", "left_semi"))
-    # per-keyword norms ride on the same small table (window over ≤ MAX_QUERY_TERMS rows),
-    # so the query side is broadcast once
+    qdf = doc_freqs(post.join(qt, "term", "left_semi"))
+    # per-keyword norms ride on the same table (a window over one keyword's terms)
     per_kw = Window.partitionBy("keyword")
-    stats = (kt.join(bc(qdf), "term", "left")
+    stats = (kt.join(qdf, "term", "left")
              .withColumn("idf", idf(F.coalesce("df", F.lit(0)), n_docs(docs)))
              .withColumn("n_q", F.count(F.lit(1)).over(per_kw))
              .withColumn("qnorm", F.lit(1.0) / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(per_kw))))
-    hits = post.join(bc(stats.select("keyword", "term", "idf", "n_q", "qnorm")), "term")
+    hits = post.join(stats.select("keyword", "term", "idf", "n_q", "qnorm"), "term")
     contrib = tf_weight("tf") * F.col("idf") * F.col("idf") * length_norm("doc_len", quantized)
     agg = hits.groupBy("keyword", "doc_id").agg(
         F.sum(contrib).alias("_s"), F.count(F.lit(1)).alias("matched"),
@@ -93,24 +91,24 @@ def search_in_id_order(post: DataFrame, docs: DataFrame, terms: DataFrame, top_n
     hits = search_any_term(post, docs, terms, top_n).select("doc_id")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                     F.regexp_replace(F.col(text_col), r"(\r\n|\n|\r)\z", "").alias("text"))
-    return d.join(F.broadcast(hits), "doc_id").orderBy("doc_id")
+    return d.join(hits, "doc_id").orderBy("doc_id")
 
 
 def search_results_table(post: DataFrame, docs: DataFrame, keyword: str, top_n: int = 100,
-                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Q4: (rank, score, doc_id, title, matched) — matched = hits returned."""
+                         id_col: str = "doc_id", fields: Sequence[str] = ("text",)) -> DataFrame:
+    """Q4: (rank, score, doc_id, the chosen stored fields, matched) — matched = hits returned."""
     hits = search_keyword(post, docs, keyword, top_n)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), ticket_text(text_col).alias("title"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(f) for f in fields if f != "doc_id"])
     return (hits.join(d, "doc_id")
             .withColumn("matched", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).cast("long"))
-            .select("rank", "score", "doc_id", "title", "matched"))
+            .select("rank", "score", "doc_id", *[f for f in fields if f != "doc_id"], "matched"))
 
 
 def best_doc_for_term(post: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Q5: for each (already analysed) term, the doc of its best hit; terms
+    """Q5: for each term (analysed like the text), the doc of its best hit; terms
     without hits give no row.  max_by is a partial/final aggregate, so a hot
     term is reduced before the shuffle."""
-    kt = terms.select(F.col("term").alias("keyword"), "term").distinct()
+    kt = keyword_terms(terms, "term")
     s = _scored(post, docs, kt)
     return (s.groupBy("keyword")
             .agg(F.max_by("doc_id", F.struct(F.col("score"), -F.col("doc_id"))).alias("doc_id"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import idf as idf_expr
 from ..functions.text import tf_weight
 from .index import analyzed_docs
-from .ordering import running_totals
+from .ordering import cut, running_totals
 
 # ---------------------------------------------------------------- scalars
 
@@ -65,10 +65,13 @@ def top_terms(post: DataFrame, cutoff: float = 0.1, n: int = 100) -> DataFrame:
 
 
 def top_terms_cutoff(post: DataFrame, cutoff: float = 0.1) -> DataFrame:
-    """Every term with df/df_top > cutoff (first always kept), sorted."""
+    """Every term with df/df_top > cutoff, sorted; the first in (df descending, term)
+    order is always kept, so with a cutoff of 1 or more it is the only one."""
     dfs = doc_freqs(post)
-    top = dfs.select(F.max("df")).scalar()
-    return (dfs.where((F.col("df").cast("double") > F.lit(float(cutoff)) * top) | (F.col("df") == top))
+    first = dfs.select(F.min(F.struct((-F.col("df")).alias("k"), "term")).alias("f"))
+    top = first.select((-F.col("f.k")).alias("top")).scalar()
+    return (dfs.where((F.col("df").cast("double") > F.lit(float(cutoff)) * top)
+                      | (F.col("term") == first.select("f.term").scalar()))
             .orderBy(F.desc("df"), F.asc("term")))
 
 
@@ -90,9 +93,8 @@ def term_freq(post: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def df_tf_listing(post: DataFrame) -> DataFrame:
-    """Every (term, df, doc_id, tf).  df is aggregated then joined back on
-    term; a hot term's postings are split by AQE's skew-join handling."""
-    return post.select("doc_id", "term", "tf").join(doc_freqs(post), "term").select("term", "df", "doc_id", "tf")
+    """Every (term, df, doc_id, tf).  df is aggregated, then joined back on term."""
+    return post.select("doc_id", "term", "tf").join(cut(doc_freqs(post)), "term").select("term", "df", "doc_id", "tf")
 
 
 def idf_table(post: DataFrame, docs: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def idf_table(post: DataFrame, docs: DataFrame) -> DataFrame:
 
 def tfidf_weights(post: DataFrame, docs: DataFrame) -> DataFrame:
     """A10: (doc_id, term, tf, idf, weight = sqrt(tf)·idf)."""
-    return (post.select("doc_id", "term", "tf").join(idf_table(post, docs).select("term", "idf"), "term")
+    return (post.select("doc_id", "term", "tf").join(cut(idf_table(post, docs).select("term", "idf")), "term")
             .select("doc_id", "term", "tf", "idf", (tf_weight("tf") * F.col("idf")).alias("weight")))
 
 
@@ -120,7 +122,7 @@ def df_vector(post: DataFrame) -> DataFrame:
 def tf_matrix(post: DataFrame) -> DataFrame:
     """The doc × vocabulary term-frequency matrix in sparse long form
     (doc_id, term_idx, term, tf); absent cells are the implicit zeros."""
-    d = term_dictionary(post).select("term", "term_idx")
+    d = cut(term_dictionary(post).select("term", "term_idx"))
     return post.select("doc_id", "term", "tf").join(d, "term").select("doc_id", "term_idx", "term", "tf")
 
 # ---------------------------------------------------------------- documents and vectors
@@ -148,9 +150,9 @@ def term_vectors(post: DataFrame, weight: str = "binary", docs: DataFrame | None
 
 def restricted_term_vectors(post: DataFrame, terms: DataFrame, weight: str = "binary") -> DataFrame:
     """T5: vectors over a given term list (term, pos); other terms ignored.
-    ``terms`` is a small list and is broadcast by the caller's contract."""
-    v = term_vectors(post.join(F.broadcast(terms.select("term")), "term", "left_semi"), weight)
-    return v.join(F.broadcast(terms.select("term", "pos")), "term").select("doc_id", "pos", "term", "weight")
+    The planner broadcasts the list if its size allows."""
+    v = term_vectors(post.join(terms.select("term").distinct(), "term", "left_semi"), weight)
+    return v.join(terms.select("term", "pos"), "term").select("doc_id", "pos", "term", "weight")
 
 
 def l1_normalize(vectors: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ sheet is written to its own path.
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +24,15 @@ from ..sources.files import read_delimited_records, write_report_table
 
 def bug_report_job(spark: SparkSession, docs: DataFrame, keywords: DataFrame, out_dir: str,
                    id_col: str = "doc_id", text_col: str = "text") -> dict[str, str]:
-    """Write ``summary`` (R2) and ``detail`` (R4) sheets under ``out_dir``;
-    returns sheet → path."""
+    """Write the ``totals`` row (R3), ``summary`` (R2) and ``detail`` (R4) sheets
+    under ``out_dir``; returns sheet → path."""
     post = postings(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tickets = docs.select(F.col(id_col).cast("long").alias("id"), ticket_text(text_col).alias("title"))
         summary = rp.keyword_summary_report(post, docs, keywords)
         detail = rp.keyword_detail_report(tickets, keywords)
-        paths = {"summary": os.path.join(out_dir, "summary"), "detail": os.path.join(out_dir, "detail")}
+        paths = {name: os.path.join(out_dir, name) for name in ("totals", "summary", "detail")}
+        write_report_table(rp.keyword_report_totals(post, docs, keywords), paths["totals"])
         write_report_table(summary, paths["summary"])
         write_report_table(detail, paths["detail"])
         return paths
@@ -38,11 +40,11 @@ def bug_report_job(spark: SparkSession, docs: DataFrame, keywords: DataFrame, ou
         post.unpersist()
 
 
-def sheet_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(sheet, n_rows) of written sheets, read back from storage."""
-    parts = [read_delimited_records(spark, p).agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
-             .select(F.lit(name).alias("sheet"), "n_rows") for name, p in sorted(paths.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def sheet_cells(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(sheet, cells) of written sheets, read back from storage; cells are joined with ``|``."""
+    parts = []
+    for name, path in sorted(paths.items()):
+        df = read_delimited_records(spark, path, multi_line=True)
+        parts.append(df.select(F.lit(name).alias("sheet"),
+                               F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in df.columns]).alias("cells")))
+    return reduce(DataFrame.unionByName, parts)

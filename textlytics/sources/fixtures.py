@@ -30,6 +30,9 @@ CATEGORIES = ("de", "en", "es", "fr")
 TOP_CUTOFF = 0.1
 TOP_N = 100
 PAIRWISE_TOP_N = 20
+# Least cosine of the all-pairs join, and the documents of the similarity matrix.
+MIN_COSINE = 0.8
+MATRIX_DOCS = tuple(range(20))
 # Brands looked up by first_row_matching (one absent).
 LOOKUP_BRANDS = ("Brand#1", "Brand#13", "Brand#7", "Brand#99")
 # p_type values for the include/exclude filters.

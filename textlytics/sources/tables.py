@@ -44,7 +44,8 @@ def key_value_arrays(lists: DataFrame) -> DataFrame:
 
 def first_row_matching(df: DataFrame, col: str, keys: DataFrame, row_id: str) -> DataFrame:
     """For each key, the lowest ``row_id`` whose ``col`` equals it, else −1."""
-    firsts = df.groupBy(F.col(col).alias("key")).agg(F.min(row_id).alias("row_id"))
+    asked = df.select(F.col(col).alias("key"), F.col(row_id).alias("row_id")).join(keys.select("key").distinct(), "key", "left_semi")
+    firsts = asked.groupBy("key").agg(F.min("row_id").alias("row_id"))
     return (keys.select("key").join(firsts, "key", "left")
             .select("key", F.coalesce("row_id", F.lit(-1)).cast("long").alias("row_id")))
 

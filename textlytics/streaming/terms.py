@@ -2,8 +2,8 @@
 
 ST1 keeps document frequencies current while documents keep arriving:
 documents → distinct terms per document (in-row) → ``groupBy(term).count()``
-in Structured Streaming state.  ST2 tags arriving tickets against a static,
-size-checked keyword list: stateless, append mode.
+in Structured Streaming state.  ST2 tags arriving tickets against a static
+keyword list by the same join as the batch report: stateless, append mode.
 
 Sinks are files in the given folder (on a cluster: the shared checkpoint
 folder), with the stream's checkpoint next to them, so a restarted query
@@ -18,9 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import analyze, ticket_text
-from ..operators.ordering import is_bounded
-
-MAX_STREAM_KEYWORDS = 10_000
+from ..operators.reports import keyword_matches
 
 
 def term_doc_freq_stream(stream: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,16 +32,23 @@ def keyword_tagging_stream(stream: DataFrame, keywords: DataFrame, id_col: str =
                            text_col: str = "text") -> DataFrame:
     """ST2 plan: (id, title, keyword) for arriving tickets whose lower-cased
     title contains a keyword (one row per keyword occurrence in the list)."""
-    if not is_bounded(keywords, MAX_STREAM_KEYWORDS):
-        raise ValueError(f"streaming keyword list limited to {MAX_STREAM_KEYWORDS}")
     t = stream.select(F.col(id_col).cast("long").alias("id"), ticket_text(text_col).alias("title"))
-    kw = F.broadcast(keywords.select("keyword").where(F.length("keyword") > 0))
-    return (t.join(kw, F.lower("title").contains(F.col("keyword")))
-            .select("id", "title", "keyword"))
+    return keyword_matches(t, keywords, "id", "title")
+
+
+def _finish(q, timeout_s: int | None) -> None:
+    """Wait for an availableNow query; a partial result is never returned."""
+    try:
+        if timeout_s is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(timeout_s):  # raises what ended the query
+            raise TimeoutError(f"the stream did not end within {timeout_s} s; its checkpoint can be resumed")
+    finally:
+        q.stop()
 
 
 def run_term_doc_freq(spark: SparkSession, source_path: str, schema, out_dir: str,
-                      max_files_per_trigger: int = 1, timeout_s: int = 600) -> DataFrame:
+                      max_files_per_trigger: int = 1000, timeout_s: int | None = None) -> DataFrame:
     """Run ST1 over every file now in ``source_path`` (availableNow) and return
     the final (term, df) table.  Each micro-batch rewrites the complete state
     result to ``out_dir/result`` (foreachBatch; the file sink has no complete mode)."""
@@ -57,13 +62,12 @@ def run_term_doc_freq(spark: SparkSession, source_path: str, schema, out_dir: st
     q = (term_doc_freq_stream(stream).writeStream.outputMode("complete")
          .option("checkpointLocation", os.path.join(out_dir, "checkpoint"))
          .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    q.stop()
+    _finish(q, timeout_s)
     return spark.read.parquet(result)
 
 
 def run_keyword_tagging(spark: SparkSession, source_path: str, schema, keywords: DataFrame,
-                        out_dir: str, max_files_per_trigger: int = 1, timeout_s: int = 600) -> DataFrame:
+                        out_dir: str, max_files_per_trigger: int = 1000, timeout_s: int | None = None) -> DataFrame:
     """Run ST2 over every file now in ``source_path`` into a parquet file sink
     (append) and return what the sink holds."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
@@ -72,6 +76,5 @@ def run_keyword_tagging(spark: SparkSession, source_path: str, schema, keywords:
     q = (keyword_tagging_stream(stream, keywords).writeStream.outputMode("append").format("parquet")
          .option("path", result).option("checkpointLocation", os.path.join(out_dir, "checkpoint"))
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    q.stop()
+    _finish(q, timeout_s)
     return spark.read.parquet(result)
