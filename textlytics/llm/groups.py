@@ -30,10 +30,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlytics.llm.common import written
+from textlytics.llm.common import bitmap, written
 
 #: members up to which a bucket has one centre
 SMALL = 8
+#: bits of the bitmap of shared buckets
+BITMAP_BITS = 26
 #: members beyond which a bucket's pairs of step 3 are bounded first
 LARGE = 64
 
@@ -80,24 +82,28 @@ def _majority(rows: DataFrame) -> DataFrame:
 
 def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], DataFrame],
               bound: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.0,
-              wide_limit: int = 0) -> DataFrame:
+              wide_limit: int = 0, sieve: Callable[[object], DataFrame] | None = None) -> DataFrame:
     """(node, root) of the nodes with a verified link.
 
     ``members``: bucket long, node long, sketch long, a node once in a bucket.
     ``verify``: from distinct pairs (a, b) with a < b those that are near copies.
     ``bound``: from nodes to (node, size, own, and longs w0_, w1_ .. of a wide sketch); near copies
     have a Jaccard similarity of ``threshold`` at least, and their wide sketches differ in
-    ``wide_limit`` bits at most."""
+    ``wide_limit`` bits at most.
+    ``sieve``: from a broadcast bitmap of buckets the members that may be in them (else all
+    members are joined with the shared buckets)."""
     near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= limit
-    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "sketch")).alias("c"))
-                     .where("n > 1"), "buckets")
-    live = written(members.join(shared.select("bucket", "n"), "bucket"), "members")
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("c")).where("n > 1"), "buckets")
+    if sieve is not None:
+        members = sieve(shared.sparkSession.sparkContext.broadcast(bitmap(shared, "bucket", BITMAP_BITS)))  # of fixed size
+    live = written(members.join(shared, "bucket"), "members")
     centre = ["bucket", F.col("c")["node"].alias("node2"), F.col("c")["sketch"].alias("sketch2")]
+    first = live.where("node = c").select("bucket", F.col("node").alias("node2"), F.col("sketch").alias("sketch2"))
     many = live.where(F.col("n") > SMALL)
     most = written(_majority(many), "majority")
     away = F.bit_count(F.col("sketch").bitwiseXOR(F.col("most")))
     middle = many.join(most, "bucket").groupBy("bucket").agg(F.min(F.struct(away.alias("away"), "node", "sketch")).alias("c"))
-    centres = written(shared.select(*centre).union(middle.select(*centre)).distinct(), "centres")
+    centres = written(first.union(middle.select(*centre)).distinct(), "centres")
 
     def pairs(rows: DataFrame) -> DataFrame:
         return rows.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
