@@ -128,7 +128,7 @@ def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], Data
     large = open_.where(F.col("n") > LARGE)
     if bound is None:
         # sketches that differ in few bits agree on one of limit + 1 parts
-        width = 64 // (limit + 1)
+        width = min(62, 64 // (limit + 1))
         parts = [F.xxhash64("bucket", F.lit(k), F.shiftrightunsigned("sketch", k * width).bitwiseAND(F.lit((1 << width) - 1)))
                  for k in range(limit + 1)]
         finer = large.withColumn("bucket", F.explode(F.array(*parts)))
