@@ -46,9 +46,9 @@ REGISTERS = 64
 BANDS = 16
 SKETCH_BITS = 18
 #: bits of the wide sketch in large buckets, and the most in which near copies may differ: a
-#: similarity of 0.8 differs in 102.4 bits on average, with deviation 9.6
-WIDE_BITS = 1024
-WIDE_LIMIT = 146
+#: similarity of 0.8 differs in 204.8 bits on average, with deviation 13.6
+WIDE_BITS = 2048
+WIDE_LIMIT = 266
 #: registers that stay empty on average when points up to the first bound are drawn: e**-SLACK
 SLACK = 4.0
 
