@@ -12,7 +12,7 @@ The samples come from the ``SAMPLE_ROWS`` texts with the smallest seeded hashes:
 
 * random: the values that base patterns found in them, and for each text strings of
   hexadecimal, base64 and upper-case base32-like characters drawn by a hash function,
-* ordinary: the runs of letters, ``_`` and ``-`` of 8 or more in the texts without base spans.
+* ordinary: whole runs of letters, ``_`` and ``-`` of 8 or more in the texts without base spans.
 
 The counts are one row for each pair of characters at most; their ratio goes to all tasks.
 
@@ -46,8 +46,10 @@ RUN_CHARS = r"[A-Za-z0-9+/_=-]{20,}"
 SAMPLE_ROWS = 3000
 THRESHOLD = 0.3
 SMOOTHING = 0.5
+#: transitions that a character's share of all transitions counts as
+PRIOR = 10.0
 SEED = 40
-_ORDINARY = r"[A-Za-z][A-Za-z_-]{7,}"
+_ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z_-]{7,}(?![A-Za-z0-9+/_=-])"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -109,13 +111,16 @@ def train(labelled: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
     ratio = [0.0] * (128 * 128)
     if not count[0] or not count[1]:
         return ratio
-    total = [Counter(), Counter()]
+    total, second = [Counter(), Counter()], [Counter(), Counter()]
     for label, n in enumerate(count):
         for p, k in n.items():
             total[label][p[0]] += k
+            second[label][p[1]] += k
+    # how often a character follows any other stands in for transitions that are rare
+    share = [{c: (second[k][c] + smoothing) / (sum(second[k].values()) + smoothing * len(chars)) for c in chars} for k in (0, 1)]
     for a in chars:
         for b in chars:
-            log = [math.log((count[k][a + b] + smoothing) / (total[k][a] + smoothing * len(chars))) for k in (0, 1)]
+            log = [math.log((count[k][a + b] + PRIOR * share[k][b]) / (total[k][a] + PRIOR)) for k in (0, 1)]
             if ord(a) < 128 and ord(b) < 128:
                 ratio[128 * ord(a) + ord(b)] = round(log[1] - log[0], 4)
     return ratio
