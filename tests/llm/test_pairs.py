@@ -146,6 +146,44 @@ def test_lines_match_brute_force(spark, tmp_path):
     assert all(r.text is None or r.text.split() or r.text in ("", "\n\n") for r in fewer)
 
 
+def removed_by_edit_similarity(rows):
+    """(row, line) of the lines that repeat others by edit similarity alone, from all pairs."""
+    occ = sorted(((r.doc_id is not None, r.doc_id, r.row, j), line_dedup.normalise(x)) for r in rows
+                 for j, x in enumerate((r.text or "").split("\n")) if line_dedup.normalise(x).split())
+    lines = list(dict.fromkeys(x for _, x in occ))
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if line_dedup.edit_similar(lines[i], lines[j], line_dedup.SIMILARITY)]
+    root, number, seen, gone = roots(range(len(lines)), links), {x: i for i, x in enumerate(lines)}, set(), set()
+    for (*_, r, j), x in occ:
+        if root[number[x]] in seen:
+            gone.add((r, j))
+        seen.add(root[number[x]])
+    return gone
+
+
+def test_lines_match_edit_similarity_alone(spark, tmp_path):
+    texts = []
+    for i in range(40):
+        line = words(100 + i, 10 + 4 * i)
+        texts += [line, changed(line, i, 1) + "\n" + words(900 + i, 30), line[:20] + line[20 + len(line) // 12:]]
+    rows = numbered(stored(spark, tmp_path, texts).select("doc_id", "text"))
+    want = removed_by_edit_similarity(rows.collect())
+    assert len(want) > 70 and {(r.row, r.line) for r in line_dedup.repeats(rows).collect()} == want
+
+
+def test_fingerprints_meet_with_the_stated_chance():
+    r = random.Random(8)
+    lines, others = [words(i, 6 + i % 90) for i in range(400)], []
+    for x in lines:  # the hardest case: a tenth of the characters substituted, anywhere
+        y = list(x)
+        for k in r.sample(range(len(y)), len(y) // 10):
+            y[k] = "#"
+        others.append("".join(y))
+    (a, s), (b, t) = line_dedup.fingerprints(lines), line_dedup.fingerprints(others)
+    assert np.mean((a == b).any(1) & (np.bitwise_count(s ^ t) <= line_dedup.MAX_BITS)) > 0.88
+    one = line_dedup.fingerprints(lines[5:6])
+    assert (one[0] == a[5]).all() and one[1] == s[5]
+
+
 def test_lines_empty_table(spark, tmp_path):
     assert line_dedup.deduplicated(empty(spark, tmp_path)).collect() == []
 

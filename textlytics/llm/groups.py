@@ -15,7 +15,8 @@ components of the verified candidates:
    In buckets of over ``LARGE`` members ``bound`` rules out pairs, if given: it has for every node its
    size, how many of its elements no other node there has, and a wide sketch.  Two nodes
    share at most the rest, which bounds their Jaccard similarity.  Without ``bound`` the
-   pairs of such buckets also agree on one of ``limit`` + 1 parts of their sketches.
+   pairs of such buckets also agree on one of ``limit`` + 1 parts of their sketches, if those have
+   ``PART_BITS`` bits or more.
 4. Components of all verified links.
 
 So every candidate pair has been tested or is connected already: no link is lost.
@@ -38,6 +39,8 @@ SMALL = 8
 BITMAP_BITS = 26
 #: members beyond which a bucket's pairs of step 3 are bounded first
 LARGE = 64
+#: bits of a part of a sketch below which parts rule out too little
+PART_BITS = 8
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -126,7 +129,9 @@ def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], Data
         return rows.join(strays, "bucket").where((F.col("comp") != F.col("comp2")) & once & near)
 
     large = open_.where(F.col("n") > LARGE)
-    if bound is None:
+    if bound is None and 64 // (limit + 1) < PART_BITS:
+        more = pairs(rest(open_))
+    elif bound is None:
         # sketches that differ in few bits agree on one of limit + 1 parts
         width = min(62, 64 // (limit + 1))
         parts = [F.xxhash64("bucket", F.lit(k), F.shiftrightunsigned("sketch", k * width).bitwiseAND(F.lit((1 << width) - 1)))
