@@ -170,6 +170,14 @@ def test_lines_match_edit_similarity_alone(spark, tmp_path):
     assert len(want) > 70 and {(r.row, r.line) for r in line_dedup.repeats(rows).collect()} == want
 
 
+def test_short_lines_take_part():
+    texts = ["Yes", "yes\n\n - \nno", "短い行は単語が一つしかない行です", "短い行は単語が一つしかない行です\n-- 7"]
+    got = list(line_dedup._lines(texts))
+    assert [(i, j) for i, j, _ in got] == [(0, 0), (1, 0), (1, 3), (2, 0), (3, 0), (3, 1)]
+    bands, _ = line_dedup.fingerprints([x for *_, x in got])
+    assert (bands[0] == bands[1]).all() and (bands[3] == bands[4]).all()
+
+
 def test_fingerprints_meet_with_the_stated_chance():
     r = random.Random(8)
     lines, others = [words(i, 6 + i % 90) for i in range(400)], []
