@@ -178,6 +178,14 @@ def test_short_lines_take_part():
     assert (bands[0] == bands[1]).all() and (bands[3] == bands[4]).all()
 
 
+def test_other_figures_are_other_lines(spark, tmp_path):
+    texts = ["12 34 56 78", "98 76 54 32", "- 3 + 4 ..", "+ 3 - 4 ..", "12  34 56 78\nyes\n98 76 54 32", "Yes\n- 3 + 4 .."]
+    rows = numbered(stored(spark, tmp_path, texts).select("doc_id", "text"))
+    at = {r.row: r.doc_id for r in rows.collect()}
+    got = {(at[r.row], r.line) for r in line_dedup.repeats(rows).collect()}
+    assert got == {(4, 0), (4, 2), (5, 0), (5, 1)}
+
+
 def test_fingerprints_meet_with_the_stated_chance():
     r = random.Random(8)
     lines, others = [words(i, 6 + i % 90) for i in range(400)], []
