@@ -270,6 +270,36 @@ def test_near_groups_match_brute_force(spark, tmp_path):
     assert kept == Counter(wordy)
 
 
+def test_wide_sketch_of_short_texts():
+    """At a similarity of 0.8 the wide sketch differs as documented, however few the elements."""
+    r = np.random.default_rng(6)
+    for common, one, other in ((4, 1, 0), (8, 1, 1), (16, 2, 2), (80, 10, 10)):
+        apart = []
+        for _ in range(200):
+            u = near_dedup.mix(r.integers(0, 1 << 62, common + one + other).astype(np.uint64))
+            a, b = near_dedup.wide_bits(u[:common + one]), near_dedup.wide_bits(np.delete(u, range(common, common + one)))
+            apart.append(np.count_nonzero(a != b))
+        assert abs(np.mean(apart) - 204.8) < 5 and np.std(apart) < 17 and max(apart) <= near_dedup.WIDE_LIMIT
+
+
+def test_short_near_copies_in_a_large_bucket(spark, tmp_path):
+    """Pairs of 9 shingles that share 8, in one bucket of over 64 members without a common centre."""
+    texts = []
+    for i in range(40):
+        line = words(4000 + i, 13)
+        texts += [line, line.rsplit(" ", 1)[0] + f" zz{i}"]
+    docs = numbered(stored(spark, tmp_path, texts).select("doc_id", "text"))
+    reps = near_dedup.signed(docs).selectExpr("row AS node", "doc_id", "key", "key64")
+    sets = near_dedup._Multisets(docs, reps)
+    members = reps.selectExpr("1L AS bucket", "node", "0L AS sketch")
+    placed = groups.connected(members, 0, near_dedup._verifier(sets, 0.8), sets.bound, 0.8, near_dedup.WIDE_LIMIT)
+    at = {r.row: r.doc_id for r in docs.collect()}
+    found = defaultdict(set)
+    for x in placed.collect():
+        found[x.root].add(at[x.node])
+    assert sorted(map(sorted, found.values())) == [[2 * i, 2 * i + 1] for i in range(40)]
+
+
 def test_near_groups_empty_table(spark, tmp_path):
     assert near_dedup.near_groups(empty(spark, tmp_path)).collect() == []
 

@@ -19,7 +19,9 @@ components of the verified candidates:
    ``PART_BITS`` bits or more.
 4. Components of all verified links.
 
-So every candidate pair has been tested or is connected already: no link is lost.
+So every candidate pair has been tested or is connected already, or ruled out by its sketches.
+Sketches are probabilistic, the narrow and the wide one: the chance to lose a near copy follows from
+the limits that the caller sets.  The other bounds are exact.
 Tables that a hot bucket or node makes uneven are written first and joined as such, so
 that adaptive execution can split their partitions.
 """

@@ -46,7 +46,8 @@ REGISTERS = 64
 BANDS = 16
 SKETCH_BITS = 18
 #: bits of the wide sketch in large buckets, and the most in which near copies may differ: a
-#: similarity of 0.8 differs in 204.8 bits on average, with deviation 13.6
+#: similarity of 0.8 differs in 204.8 bits on average, with deviation 13.6 (binomial), so the bound is
+#: probabilistic: 4.5 deviations, some 3 in a million such pairs are lost, fewer of more similar ones
 WIDE_BITS = 2048
 WIDE_LIMIT = 266
 #: registers that stay empty on average when points up to the first bound are drawn: e**-SLACK
@@ -178,6 +179,17 @@ def signed(docs: DataFrame) -> DataFrame:
                            .add("bands", T.ArrayType(T.LongType())).add("sketch", "long"))
 
 
+def wide_bits(units: np.ndarray) -> np.ndarray:
+    """One bit of each of ``WIDE_BITS`` minimum hashes of a multiset's elements.
+
+    The minimum is mixed before: an odd multiplier keeps the lowest bit of an element."""
+    mult = seeded(WIDE_BITS, 31) | U64(1)
+    out = np.zeros(WIDE_BITS, np.uint8)
+    for at in range(0, WIDE_BITS, 64):
+        out[at:at + 64] = mix((units[:, None] * mult[None, at:at + 64]).min(0)) & U64(1)
+    return out
+
+
 class _Multisets:
     """The multisets of documents asked for, as sorted hashes of (shingle, occurrence)."""
 
@@ -214,15 +226,13 @@ class _Multisets:
         """(node, size, own, w0..): the elements of a multiset, those that no other node here has,
         and one bit of each of ``WIDE_BITS`` minimum hashes of the elements."""
         def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mult = seeded(WIDE_BITS, 31) | U64(1)
             for batch in batches:
                 out = np.zeros((batch.num_rows, WIDE_BITS), np.uint8)
                 sizes = []
                 for i, raw in enumerate(batch.column("units")):
                     units = np.frombuffer(raw.as_buffer(), U64)
                     sizes.append(len(units))
-                    for at in range(0, WIDE_BITS, 64):
-                        out[i, at:at + 64] = (units[:, None] * mult[None, at:at + 64]).min(0) & U64(1)
+                    out[i] = wide_bits(units)
                 longs = np.packbits(out, axis=1, bitorder="little").view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), *(pa.array(c) for c in longs.T.copy())],
                                                  names=["node", "size", *(f"w{k}_" for k in range(WIDE_BITS // 64))])
