@@ -1,6 +1,7 @@
 """Operators that compare texts: lines, near copies, benchmark passages, repeated strings, groups."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -282,6 +283,12 @@ def test_wide_sketch_of_short_texts():
         assert abs(np.mean(apart) - 204.8) < 5 and np.std(apart) < 17 and max(apart) <= near_dedup.WIDE_LIMIT
 
 
+def test_sketch_loses_next_to_no_near_copy():
+    """Bits of the sketch of a pair of similarity 0.8 differ with probability 0.1 each."""
+    lost = sum(math.comb(64, k) * 0.1**k * 0.9 ** (64 - k) for k in range(near_dedup.SKETCH_BITS + 1, 65))
+    assert lost < 1e-7
+
+
 def test_short_near_copies_in_a_large_bucket(spark, tmp_path):
     """Pairs of 9 shingles that share 8, in one bucket of over 64 members without a common centre."""
     texts = []

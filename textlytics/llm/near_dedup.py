@@ -44,7 +44,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS = 64
 BANDS = 16
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 #: bits of the wide sketch in large buckets, and the most in which near copies may differ: a
 #: similarity of 0.8 differs in 204.8 bits on average, with deviation 13.6 (binomial), so the bound is
 #: probabilistic: 4.5 deviations, some 3 in a million such pairs are lost, fewer of more similar ones
