@@ -89,7 +89,8 @@ def names_skipped(value: str) -> bool:
     for name in value.split():
         words = [w.lower() for w in _WORDS.findall(name)]
         for i, w in enumerate(words):
-            if ((w in SKIPPED_NAMES or w.startswith(SKIPPED_BEGINNINGS) or w.endswith(SKIPPED_ENDS))
+            if ((w in SKIPPED_NAMES or w.startswith(SKIPPED_BEGINNINGS) or w.endswith(SKIPPED_ENDS)
+                 or i and words[i - 1] + w in SKIPPED_NAMES)  # side-bar
                     and not (i and words[i - 1] in QUALIFIERS)):
                 return True
     return False
