@@ -61,7 +61,7 @@ def test_cosine_and_cooccurrence_brute_force(spark, docs):
         assert all(math.isclose(cos[k], v, abs_tol=1e-8) for k, v in want.items())
     listed = VOCAB[:4]
     terms = spark.createDataFrame(list(enumerate(listed)), "pos long, term string")
-    pairs = {(r.term_a, r.term_b): r.n_docs for r in sm.term_cooccurrence_all(post, terms).collect()}
+    pairs = {(r.term_a, r.term_b): r.n_docs for r in sm.term_cooccurrence_listed(post, terms).collect()}
     want2 = Counter((a, b) for s in sets for a in s for b in s)
     assert pairs == {k: v for k, v in want2.items() if k[0] in listed}
     cells = {(r.term_a, r.term_b): r.n_docs for r in sm.term_cooccurrence(post, terms).collect()}

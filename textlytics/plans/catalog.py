@@ -299,6 +299,8 @@ def q_batch_search(spark, sf_dir):
 # ============================================================ coverage and keyword reports
 
 from ..operators import classify as nb  # noqa: E402
+from ..operators import cosine as cs  # noqa: E402
+from ..operators import pair_counts as pc  # noqa: E402
 from ..operators import reports as rp  # noqa: E402
 from ..operators import similar as sm  # noqa: E402
 
@@ -398,21 +400,56 @@ def q_top_term_cooccurrence(spark, sf_dir):
     return sm.top_term_cooccurrence(_indexed(spark, sf_dir), fx.PAIRWISE_TOP_N, fx.TOP_CUTOFF)
 
 
-@query("term_cooccurrence_all", with_corpus(f""", tl AS ({_M1_SQL})
+@query("term_cooccurrence_listed", with_corpus(f""", tl AS ({_M1_SQL})
 SELECT a.term AS term_a, b.term AS term_b, count(*)::BIGINT AS n_docs
 FROM post a JOIN post b ON a.doc_id = b.doc_id WHERE a.term IN (SELECT term FROM tl) GROUP BY 1, 2"""))
-def q_term_cooccurrence_all(spark, sf_dir):
-    return sm.term_cooccurrence_all(_indexed(spark, sf_dir), fx.term_list(spark, M1_TERMS))
+def q_term_cooccurrence_listed(spark, sf_dir):
+    return sm.term_cooccurrence_listed(_indexed(spark, sf_dir), fx.term_list(spark, M1_TERMS))
 
 
-@query("pairwise_cosine", with_corpus(f"""
+# every pair of the vocabulary that a hundredth of the documents have in common
+@query("term_cooccurrence_all", with_corpus(f""",
+least AS (SELECT greatest(2, ceil(n / {fx.PAIR_SHARE}))::BIGINT AS m FROM ndocs),
+fpost AS (SELECT p.doc_id, p.term FROM post p JOIN dfs d ON d.term = p.term WHERE d.df >= (SELECT m FROM least))
+SELECT a.term AS term_a, b.term AS term_b, count(*)::BIGINT AS n_docs
+FROM fpost a JOIN fpost b ON a.doc_id = b.doc_id AND a.term <= b.term
+GROUP BY 1, 2 HAVING count(*) >= (SELECT m FROM least)"""))
+def q_term_cooccurrence_all(spark, sf_dir):
+    least = max(2, -(-_docs(spark, sf_dir).count() // fx.PAIR_SHARE))
+    return pc.frequent_pairs(_indexed(spark, sf_dir), least)
+
+
+def _cosine_sql(signature: str, dot: str, norm: str, weighted: str, decimals: int) -> str:
+    """Representatives of equal vectors linked to each other, and each copy to its representative."""
+    return with_corpus(f""",
+nd AS (SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM post),
+wp AS (SELECT p.doc_id, p.term, p.tf, {weighted} AS w FROM post p JOIN dfs d ON d.term = p.term),
+vec AS (SELECT doc_id, list({signature} ORDER BY term) AS s, sqrt(sum(w * w)) AS norm, count(*)::BIGINT AS n FROM wp GROUP BY doc_id),
+cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id, norm, n FROM vec),
+rp AS (SELECT wp.*, cls.norm, cls.n FROM wp JOIN cls ON cls.doc_id = wp.doc_id WHERE cls.doc_id = cls.class_id)
 SELECT * FROM (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*)::BIGINT AS overlap,
-         round(count(*) / max(sqrt(a.doc_terms::DOUBLE) * sqrt(b.doc_terms::DOUBLE)), {sm.COSINE_DECIMALS}) AS cosine
-  FROM post a JOIN post b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
-WHERE cosine >= {fx.MIN_COSINE}"""))
+         round({dot} / {norm}, {decimals}) AS cosine, false AS copy
+  FROM rp a JOIN rp b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
+WHERE cosine >= {fx.MIN_COSINE}
+UNION ALL SELECT class_id, doc_id, n, 1.0, true FROM cls WHERE doc_id <> class_id""")
+
+
+@query("pairwise_cosine", _cosine_sql("term", "count(*)", "max(sqrt(a.n::DOUBLE) * sqrt(b.n::DOUBLE))", "1.0::DOUBLE", cs.DECIMALS))
 def q_pairwise_cosine(spark, sf_dir):
-    return sm.pairwise_cosine(_indexed(spark, sf_dir), fx.MIN_COSINE)
+    return cs.similar_pairs(_indexed(spark, sf_dir), fx.MIN_COSINE)
+
+
+@query("pairwise_cosine_tf", _cosine_sql("(term, tf)", "sum(a.w * b.w)", "max(a.norm * b.norm)", "p.tf::DOUBLE", cs.DECIMALS))
+def q_pairwise_cosine_tf(spark, sf_dir):
+    return cs.similar_pairs(_indexed(spark, sf_dir), fx.MIN_COSINE, "tf")
+
+
+# weights are no whole numbers, so sums differ in their last places between engines: 6 decimals
+@query("pairwise_cosine_tfidf", _cosine_sql("(term, tf)", "sum(a.w * b.w)", "max(a.norm * b.norm)",
+                                            "sqrt(p.tf) * (1 + ln((SELECT n FROM nd) / (d.df + 1.0)))", 6))
+def q_pairwise_cosine_tfidf(spark, sf_dir):
+    return cs.similar_pairs(_indexed(spark, sf_dir), fx.MIN_COSINE, "tfidf", 6)
 
 
 @query("cosine_of_docs", with_corpus(""",

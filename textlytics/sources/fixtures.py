@@ -30,6 +30,8 @@ CATEGORIES = ("de", "en", "es", "fr")
 TOP_CUTOFF = 0.1
 TOP_N = 100
 PAIRWISE_TOP_N = 20
+# Whole-vocabulary pairs are those of one document in so many.
+PAIR_SHARE = 100
 # Least cosine of the all-pairs join, and the documents of the similarity matrix.
 MIN_COSINE = 0.8
 MATRIX_DOCS = tuple(range(20))
