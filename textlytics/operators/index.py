@@ -73,6 +73,34 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .select(*POSTINGS_COLUMNS))
 
 
+#: listed terms that travel as one array; a longer list is joined with the postings of all documents
+LISTED = 500
+
+
+def listed_postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    pattern: str = TOKEN_PATTERN, stop=STOP_WORDS, max_len: int = MAX_TOKEN_LENGTH,
+                    listed: int = LISTED) -> DataFrame:
+    """The postings of the terms of a list (``terms.term``), as in :func:`postings`, without analysing every text.
+
+    A term of a text is a part of its lower-cased form, so a text that contains no listed
+    term as a substring cannot have one and is left out before the analyser; and only listed terms are
+    exploded.  ``doc_len`` and ``doc_terms`` are those of the whole document.  A list of more than
+    ``listed`` terms, of which most texts contain some, is joined with the postings of all documents instead."""
+    few = [r.term for r in terms.select("term").where(F.col("term").isNotNull()).distinct().limit(listed + 1).collect()]
+    if len(few) > listed:
+        return postings(docs, id_col, text_col, pattern, stop, max_len).join(terms.select("term").distinct(), "term", "left_semi").select(
+            *POSTINGS_COLUMNS)
+    wanted = F.array(*[F.lit(t) for t in sorted(few)]).cast("array<string>")
+    # the lower-cased text is bound once, as the one element of an array
+    held = F.exists(F.array(F.lower(F.col(text_col))), lambda text: F.exists(wanted, lambda t: F.contains(text, t)))
+    a = analyzed_docs(spread(docs, id_col).where(held), id_col, text_col, pattern, stop, max_len)
+    return (a.select("doc_id", "doc_len", "doc_terms",
+                     F.explode_outer(F.filter("terms", lambda t: F.array_contains(wanted, t))).alias("term"))
+            .where(F.col("term").isNotNull()).groupBy("doc_id", "term")
+            .agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"), F.max("doc_terms").alias("doc_terms"))
+            .select(*POSTINGS_COLUMNS))
+
+
 INDEX_COLUMNS = ("doc_id", "field", "term", "tf", "doc_len", "doc_terms")
 
 

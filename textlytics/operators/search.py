@@ -11,6 +11,8 @@ Scoring is the classic vector-space score of the original index:
 is one broadcast join of the (small) query-term table against the postings,
 one partial/final aggregate per document, and a top-N (TakeOrdered, or a
 window group-limit per keyword that Spark applies before the shuffle).
+The postings need not be those of all terms: :func:`index.listed_postings` gives those of
+the query's terms and analyses only texts that can have one.
 Scores are rounded to 6 decimals before ordering so ties are decided by
 doc_id identically in every engine.
 """
@@ -61,7 +63,8 @@ def _scored(post: DataFrame, docs: DataFrame, kw_terms: DataFrame, quantized: bo
                       "matched")
 
 
-def _single(spark, keyword: str) -> DataFrame:
+def single(spark, keyword: str) -> DataFrame:
+    """A keyword table of one keyword."""
     return spark.createDataFrame([(keyword,)], "keyword string")
 
 
@@ -80,7 +83,7 @@ def search_keyword(post: DataFrame, docs: DataFrame, keyword: str, top_n: int =
     """Q1: rank documents for one keyword (analysed like the text; several
     words become an OR query).  (rank 0-based, doc_id, score)."""
     spark = post.sparkSession
-    kt = keyword_terms(_single(spark, keyword)).select("term")
+    kt = keyword_terms(single(spark, keyword)).select("term")
     return search_any_term(post, docs, kt, top_n, quantized)
 
 

@@ -53,6 +53,16 @@ def _indexed(spark, sf_dir):
     return ix.load_index(spark, path, "text")
 
 
+def _listed(spark, sf_dir, terms, col="term"):
+    """Postings of listed terms: only texts that can have one are analysed."""
+    return ix.listed_postings(_docs(spark, sf_dir), terms.select(F.col(col).alias("term")))
+
+
+def _searched(spark, sf_dir, keywords, col="keyword"):
+    """Postings of the terms that a table of keywords asks for."""
+    return ix.listed_postings(_docs(spark, sf_dir), se.keyword_terms(keywords, col))
+
+
 def _r6(c):
     return F.round(c, 6)
 
@@ -126,7 +136,7 @@ def q_total_docs(spark, sf_dir):
 SELECT q.term, coalesce(d.df, 0)::BIGINT AS df FROM q LEFT JOIN dfs d ON d.term = q.term"""))
 def q_doc_freq(spark, sf_dir):
     terms = fx.keyword_list(spark).select(F.col("keyword").alias("term"))
-    return st.doc_freq(_post(spark, sf_dir), terms)
+    return st.doc_freq(_listed(spark, sf_dir, terms), terms)
 
 
 _PROBES = ("from", "ouen", "qzxjv")
@@ -140,7 +150,7 @@ def q_term_freq(spark, sf_dir):
     # every document probed for a frequent, a rare and an absent term
     probes = _docs(spark, sf_dir).select(
         "doc_id", F.explode(F.array(*[F.lit(t) for t in _PROBES])).alias("term"))
-    return st.term_freq(_post(spark, sf_dir), probes)
+    return st.term_freq(_listed(spark, sf_dir, fx.term_list(spark, _PROBES)), probes)
 
 
 @query("terms_by_doc_freq", with_corpus("""
@@ -155,7 +165,7 @@ SELECT row_number() OVER (ORDER BY df DESC, term)::BIGINT AS rank, term, df
 FROM dfs WHERE term IN (SELECT keyword FROM ({KW_SQL}))"""))
 def q_listed_terms_by_doc_freq(spark, sf_dir):
     terms = fx.keyword_list(spark).select(F.col("keyword").alias("term"))
-    a5 = st.listed_terms_by_doc_freq(_post(spark, sf_dir), terms)
+    a5 = st.listed_terms_by_doc_freq(_listed(spark, sf_dir, terms), terms)
     # the listed result is bounded by the keyword list: a plain window is fine
     from pyspark.sql import Window
     return a5.select(F.row_number().over(Window.orderBy(F.desc("df"), F.asc("term"))).cast("long").alias("rank"),
@@ -242,7 +252,8 @@ def q_l1_normalize(spark, sf_dir):
 SELECT (row_number() OVER (ORDER BY score DESC, doc_id) - 1)::BIGINT AS rank, doc_id, score
 FROM sc ORDER BY score DESC, doc_id LIMIT {fx.SEARCH_TOP_N}"""))
 def q_search_keyword(spark, sf_dir):
-    return se.search_keyword(_post(spark, sf_dir), _docs(spark, sf_dir), fx.SEARCH_KEYWORD, fx.SEARCH_TOP_N)
+    post = _searched(spark, sf_dir, se.single(spark, fx.SEARCH_KEYWORD))
+    return se.search_keyword(post, _docs(spark, sf_dir), fx.SEARCH_KEYWORD, fx.SEARCH_TOP_N)
 
 
 _OR_KT = f"SELECT DISTINCT 'q' AS keyword, term FROM ({values_sql('term', fx.OR_TERMS)})"
@@ -253,7 +264,7 @@ SELECT (row_number() OVER (ORDER BY score DESC, doc_id) - 1)::BIGINT AS rank, do
 FROM sc ORDER BY score DESC, doc_id LIMIT {fx.SEARCH_TOP_N}"""))
 def q_search_any_term(spark, sf_dir):
     terms = fx.term_list(spark, fx.OR_TERMS)
-    return se.search_any_term(_post(spark, sf_dir), _docs(spark, sf_dir), terms, fx.SEARCH_TOP_N)
+    return se.search_any_term(_listed(spark, sf_dir, terms), _docs(spark, sf_dir), terms, fx.SEARCH_TOP_N)
 
 
 @query("search_in_id_order", with_corpus(scored_sql(_OR_KT) + f""",
@@ -262,7 +273,7 @@ SELECT d.doc_id, regexp_replace(d.text, '(\\r\\n|\\n|\\r)\\z', '') AS text
 FROM documents d JOIN top ON top.doc_id = d.doc_id"""))
 def q_search_in_id_order(spark, sf_dir):
     terms = fx.term_list(spark, fx.OR_TERMS)
-    return se.search_in_id_order(_post(spark, sf_dir), _docs(spark, sf_dir), terms, fx.SEARCH_TOP_N)
+    return se.search_in_id_order(_listed(spark, sf_dir, terms), _docs(spark, sf_dir), terms, fx.SEARCH_TOP_N)
 
 
 @query("search_results_table", with_corpus(scored_sql(keyword_terms_sql(values_sql("keyword", [fx.SEARCH_KEYWORD]))) + f""",
@@ -272,7 +283,8 @@ SELECT top.rank, top.score, top.doc_id, d.text, d.source,
        (count(*) OVER ())::BIGINT AS matched
 FROM top JOIN documents d ON d.doc_id = top.doc_id"""))
 def q_search_results_table(spark, sf_dir):
-    return se.search_results_table(_post(spark, sf_dir), _docs(spark, sf_dir), fx.SEARCH_KEYWORD, fx.SEARCH_TOP_N,
+    post = _searched(spark, sf_dir, se.single(spark, fx.SEARCH_KEYWORD))
+    return se.search_results_table(post, _docs(spark, sf_dir), fx.SEARCH_KEYWORD, fx.SEARCH_TOP_N,
                                    fields=("text", "source"))
 
 
@@ -286,7 +298,7 @@ SELECT keyword AS term, doc_id FROM (
 WHERE rn = 1"""))
 def q_best_doc_for_term(spark, sf_dir):
     terms = fx.term_list(spark, _BEST_TERMS)
-    return se.best_doc_for_term(_post(spark, sf_dir), _docs(spark, sf_dir), terms)
+    return se.best_doc_for_term(_searched(spark, sf_dir, terms, "term"), _docs(spark, sf_dir), terms)
 
 
 @query("batch_search", with_corpus(scored_sql(keyword_terms_sql(KW_SQL)) + f"""
@@ -294,7 +306,8 @@ SELECT keyword, (rn - 1)::BIGINT AS rank, doc_id, score FROM (
   SELECT keyword, doc_id, score, row_number() OVER (PARTITION BY keyword ORDER BY score DESC, doc_id) AS rn FROM sc)
 WHERE rn <= {fx.SEARCH_TOP_N}"""))
 def q_batch_search(spark, sf_dir):
-    return se.batch_search(_post(spark, sf_dir), _docs(spark, sf_dir), fx.keyword_list(spark), fx.SEARCH_TOP_N)
+    kw = fx.keyword_list(spark)
+    return se.batch_search(_searched(spark, sf_dir, kw), _docs(spark, sf_dir), kw, fx.SEARCH_TOP_N)
 
 # ============================================================ coverage and keyword reports
 
@@ -320,7 +333,9 @@ SELECT row_number() OVER w::BIGINT AS rank, dfs.term, dfs.df, coalesce(n_new, 0)
 FROM dfs LEFT JOIN newc ON newc.term = dfs.term
 WINDOW w AS (ORDER BY dfs.df DESC, dfs.term ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def q_term_distribution(spark, sf_dir):
-    r = rp.term_distribution(_indexed(spark, sf_dir), _docs(spark, sf_dir))
+    d = _docs(spark, sf_dir)
+    sets = ix.analyzed_docs(d).select("doc_id", F.array_distinct("terms").alias("terms"))
+    r = rp.term_distribution_of_sets(sets, d)
     return r.withColumn("covered_share", _r6(F.col("covered_share")))
 
 
@@ -336,7 +351,8 @@ SELECT row_number() OVER w::BIGINT AS rank, ldfs.term AS keyword, ldfs.df AS n_r
 FROM ldfs LEFT JOIN newc ON newc.term = ldfs.term
 WINDOW w AS (ORDER BY ldfs.df DESC, ldfs.term ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
 def q_keyword_summary_report(spark, sf_dir):
-    r = rp.keyword_summary_report(_indexed(spark, sf_dir), _docs(spark, sf_dir), fx.keyword_list(spark))
+    kw = fx.keyword_list(spark)
+    r = rp.keyword_summary_report(_listed(spark, sf_dir, kw, "keyword"), _docs(spark, sf_dir), kw)
     return r.withColumn("pct_total_covered", _r6(F.col("pct_total_covered")))
 
 
@@ -344,7 +360,8 @@ def q_keyword_summary_report(spark, sf_dir):
 SELECT (SELECT count(DISTINCT term) FROM post WHERE term IN (SELECT keyword FROM ({KW_SQL})))::BIGINT AS matched_keywords,
        (SELECT n FROM ndocs)::BIGINT AS total_reports"""))
 def q_keyword_report_totals(spark, sf_dir):
-    return rp.keyword_report_totals(_post(spark, sf_dir), _docs(spark, sf_dir), fx.keyword_list(spark))
+    kw = fx.keyword_list(spark)
+    return rp.keyword_report_totals(_listed(spark, sf_dir, kw, "keyword"), _docs(spark, sf_dir), kw)
 
 
 _DETAIL_SQL = f"""

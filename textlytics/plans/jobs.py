@@ -2,7 +2,7 @@
 
 The original default job indexes the tickets, then writes a summary sheet
 (keyword coverage) and a detail sheet (keyword matches in titles).  Here the
-postings are built once and persisted (memory and disk, so a lost executor
+postings of the listed keywords are built once and persisted (memory and disk, so a lost executor
 recomputes only its partitions), both reports are planned from them, and each
 sheet is written to its own path.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ticket_text
 from ..operators import reports as rp
-from ..operators.index import postings
+from ..operators.index import listed_postings
 from ..sources.files import read_delimited_records, write_report_table
 
 
@@ -26,7 +26,8 @@ def bug_report_job(spark: SparkSession, docs: DataFrame, keywords: DataFrame, ou
                    id_col: str = "doc_id", text_col: str = "text") -> dict[str, str]:
     """Write the ``totals`` row (R3), ``summary`` (R2) and ``detail`` (R4) sheets
     under ``out_dir``; returns sheet → path."""
-    post = postings(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    listed = keywords.select(F.col("keyword").alias("term"))
+    post = listed_postings(docs, listed, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         tickets = docs.select(F.col(id_col).cast("long").alias("id"), ticket_text(text_col).alias("title"))
         summary = rp.keyword_summary_report(post, docs, keywords)
