@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import docs_df
 from textlytics.operators import classify as nb
+from textlytics.operators import matching as mt
 from textlytics.operators import reports as rp
 from textlytics.operators import similar as sm
 from textlytics.operators import stats as st
@@ -121,7 +122,7 @@ def test_detail_report_rows_do_not_depend_on_the_list_length(spark, monkeypatch)
     kw = spark.createDataFrame(list(enumerate(kws)), "kw_idx long, keyword string")
     want = sorted((i, x, k) for i, x in [*enumerate(titles), (0, titles[0])] for k in kws if k and x and k in x.lower())
     for in_row in (500, 0):
-        got = rp.keyword_matches(t, kw, "id", "title", in_row=in_row).select("id", "title", "keyword").collect()
+        got = mt.keyword_matches(t, kw, "id", "title", in_row=in_row).select("id", "title", "keyword").collect()
         assert sorted(map(tuple, got)) == want
     many = spark.range(1001).selectExpr("id AS kw_idx", "concat('policy', if(id < 7, '', string(id))) AS keyword")
     assert rp.keyword_detail_report(t, many).count() == 7 * 3

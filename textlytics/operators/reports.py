@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .matching import keyword_matches
 from .ordering import cut, running_totals
 from .stats import n_docs
 
@@ -89,48 +90,6 @@ def keyword_report_totals(post: DataFrame, docs: DataFrame, keywords: DataFrame)
         "matched_keywords", n_docs(docs).cast("long").alias("total_reports"))
 
 
-GRAM = 3
-#: entries of a keyword list that are tested one by one in each row
-IN_ROW_KEYWORDS = 500
-
-
-def _grams(text, lengths):
-    """The hashes of all substrings of these lengths of a text: for each length, the
-    matches of that many characters from each of the first places on."""
-    runs = [F.regexp_extract_all(F.substring(text, start + 1, 2**31 - 1) if start else text,
-                                 F.lit("(?s)" + "." * length), F.lit(0))
-            for length in lengths for start in range(length)]
-    return F.transform(F.concat(*runs), lambda g: F.xxhash64(g))
-
-
-def keyword_matches(tickets: DataFrame, keywords: DataFrame, *carry: str, in_row: int = IN_ROW_KEYWORDS) -> DataFrame:
-    """(carry.., keyword): a row for each ticket and keyword entry that its lower-cased ``title``
-    contains.  The rows are the same for a list of any length; how they are found is not:
-
-    * up to ``in_row`` entries travel as one array and are tested in the row;
-    * of a longer list each keyword is found by its first GRAM characters (all, if it has
-      fewer), which every title that contains it has among its substrings.  A title keeps
-      the substrings that begin some keyword; the equi-join on their hashes is verified.
-      What each task gets whole are the distinct beginnings, whose number is
-      bounded by the alphabet and not by the list."""
-    listed = keywords.select("keyword").where(F.length("keyword") > 0)
-    rows = tickets.select(*carry, F.lower(F.coalesce("title", F.lit(""))).alias("_lower"))
-    few = [r["keyword"] for r in listed.orderBy("keyword").limit(in_row + 1).collect()]
-    if len(few) <= in_row:
-        entries = F.array(*[F.lit(k) for k in few]).cast("array<string>")
-        held = F.filter(entries, lambda k: F.contains(F.col("_lower"), k))
-        return rows.select(*carry, F.explode_outer(held).alias("keyword")).where(F.col("keyword").isNotNull())
-    first = F.substring("keyword", 1, GRAM)
-    kw = listed.select("keyword", first.alias("_first"), F.xxhash64(first).alias("_gram"))
-    found = kw.select("_gram", F.length("_first").alias("n")).distinct().orderBy("_gram").collect()
-    begins = F.array(*[F.lit(r["_gram"]) for r in found]).cast("array<bigint>")
-    held = F.array_intersect(_grams(F.col("_lower"), sorted({r["n"] for r in found})), begins)
-    # explode_outer: plain explode would add a filter that makes the substrings twice
-    grams = rows.select(*carry, "_lower", F.explode_outer(held).alias("_gram")).where(F.col("_gram").isNotNull())
-    return (grams.join(kw.select("keyword", "_gram"), "_gram")
-            .where(F.contains(F.col("_lower"), F.col("keyword"))).select(*carry, "keyword"))
-
-
 def keyword_detail_report(tickets: DataFrame, keywords: DataFrame) -> DataFrame:
     """Every (report, keyword occurrence) where the lower-cased title
     contains the keyword: (id, title, keyword), one row per keyword occurrence

@@ -313,6 +313,7 @@ def q_batch_search(spark, sf_dir):
 
 from ..operators import classify as nb  # noqa: E402
 from ..operators import cosine as cs  # noqa: E402
+from ..operators import matching as mt  # noqa: E402
 from ..operators import pair_counts as pc  # noqa: E402
 from ..operators import reports as rp  # noqa: E402
 from ..operators import similar as sm  # noqa: E402
@@ -375,6 +376,19 @@ def q_keyword_detail_report(spark, sf_dir):
     return rp.keyword_detail_report(fx.tickets(spark, sf_dir), fx.keyword_list(spark))
 
 
+# a long list, drawn from another table: every word of five letters or more of the benchmark items
+_WORD_PATTERN = r"[\p{L}]{5,}"
+
+
+@query("keyword_list_matches", f"""
+WITH kw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {sql_str(_WORD_PATTERN)})) AS keyword FROM benchmark)
+SELECT d.doc_id AS id, kw.keyword FROM documents d JOIN kw ON contains(lower({title_sql('d.text')}), kw.keyword)""")
+def q_keyword_list_matches(spark, sf_dir):
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD_PATTERN), F.lit(0)))
+    kw = fx.table(spark, sf_dir, "benchmark").select(found.alias("keyword")).distinct()
+    return mt.keyword_matches(fx.tickets(spark, sf_dir), kw, "id")
+
+
 @query("report_labels", f"""WITH {_DETAIL_SQL},
 lab AS (SELECT id, array_to_string(list_sort(list_distinct(list(keyword))), '|') AS labels FROM detail GROUP BY id)
 SELECT t.id, coalesce(lab.labels, '') AS labels FROM t LEFT JOIN lab ON lab.id = t.id""")

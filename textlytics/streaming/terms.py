@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import analyze, ticket_text
-from ..operators.reports import keyword_matches
+from ..operators.matching import keyword_matches
 
 
 def term_doc_freq_stream(stream: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
