@@ -2,7 +2,11 @@
 
 ST1 keeps document frequencies current while documents keep arriving:
 documents → distinct terms per document (in-row) → ``groupBy(term).count()``
-in Structured Streaming state.  ST2 tags arriving tickets against a static
+in Structured Streaming state.  A micro-batch writes only the terms whose count it changed, into a
+folder of its own: written again from the start if the batch is repeated, and not looked at before it is
+whole.  Counts only grow, so the result is each term's largest count over the whole folders; a batch that was
+killed leaves the result of the one before.  Every so many batches the result so far is written as
+one folder, which takes the place of those before it.  ST2 tags arriving tickets against a static
 keyword list by the same join as the batch report: stateless, append mode.
 
 Sinks are files in the given folder (on a cluster: the shared checkpoint
@@ -47,23 +51,69 @@ def _finish(q, timeout_s: int | None) -> None:
         q.stop()
 
 
-def run_term_doc_freq(spark: SparkSession, source_path: str, schema, out_dir: str,
-                      max_files_per_trigger: int = 1000, timeout_s: int | None = None) -> DataFrame:
+#: micro-batches after which the result so far is written as one folder
+COMPACT_EVERY = 50
+
+
+def _whole_folders(spark: SparkSession, result: str) -> dict[str, list[int]]:
+    """The numbers of the folders epoch=.. and base=.. under ``result`` whose write was committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{result}/*/_SUCCESS")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"epoch": [], "base": []}
+    for status in fs.globStatus(path) or []:
+        kind, _, number = status.getPath().getParent().getName().partition("=")
+        if kind in found:
+            found[kind].append(int(number))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def read_term_doc_freq(spark: SparkSession, out_dir: str, upto: int | None = None) -> DataFrame:
+    """The (term, df) that the stream writing to ``out_dir`` has reached: all committed batches
+    (to number ``upto``).  Safe while the stream runs, and after it was killed."""
+    result = os.path.join(out_dir, "result")
+    whole = _whole_folders(spark, result)
+    base = max((n for n in whole["base"] if upto is None or n <= upto), default=-1)
+    parts = [f"{result}/base={base}"] if base >= 0 else []
+    parts += [f"{result}/epoch={n}" for n in whole["epoch"] if n > base and (upto is None or n <= upto)]
+    if not parts:
+        return spark.createDataFrame([], DOC_FREQ_SCHEMA)
+    return spark.read.schema(DOC_FREQ_SCHEMA).parquet(*parts).groupBy("term").agg(F.max("df").alias("df"))
+
+
+DOC_FREQ_SCHEMA = "term string, df long"
+
+
+def run_term_doc_freq(spark: SparkSession, source_path: str, schema, out_dir: str, max_files_per_trigger: int = 1000,
+                      timeout_s: int | None = None, compact_every: int = COMPACT_EVERY) -> DataFrame:
     """Run ST1 over every file now in ``source_path`` (availableNow) and return
-    the final (term, df) table.  Each micro-batch rewrites the complete state
-    result to ``out_dir/result`` (foreachBatch; the file sink has no complete mode)."""
+    the final (term, df) table, see :func:`read_term_doc_freq`."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
               .parquet(source_path))
     result = os.path.join(out_dir, "result")
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(result)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{result}/epoch={epoch}")
+        if (epoch + 1) % compact_every == 0:
+            read_term_doc_freq(spark, out_dir, epoch).write.mode("overwrite").parquet(f"{result}/base={epoch}")
+            _drop_before(spark, result, epoch - compact_every)
 
-    q = (term_doc_freq_stream(stream).writeStream.outputMode("complete")
+    q = (term_doc_freq_stream(stream).writeStream.outputMode("update")
          .option("checkpointLocation", os.path.join(out_dir, "checkpoint"))
          .foreachBatch(write).trigger(availableNow=True).start())
     _finish(q, timeout_s)
-    return spark.read.parquet(result)
+    return read_term_doc_freq(spark, out_dir)
+
+
+def _drop_before(spark: SparkSession, result: str, base: int) -> None:
+    """Drop the folders that an earlier base stands for; those of the last interval stay for readers
+    that began before the newest base was written."""
+    whole = _whole_folders(spark, result)
+    if base in whole["base"]:
+        for kind, numbers in whole.items():
+            for n in numbers:
+                if n < base or kind == "epoch" and n == base:
+                    path = spark._jvm.org.apache.hadoop.fs.Path(f"{result}/{kind}={n}")
+                    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run_keyword_tagging(spark: SparkSession, source_path: str, schema, keywords: DataFrame,
