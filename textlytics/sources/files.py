@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import read_records
+
 # RFC-4180 style: quotes doubled, fields may span lines, whitespace kept.
 _CSV_READ = {"header": "true", "escape": '"', "quote": '"', "inferSchema": "false", "mode": "PERMISSIVE"}
 _CSV_WRITE = {"header": "true", "escape": '"', "quote": '"',
@@ -22,8 +24,10 @@ _CSV_WRITE = {"header": "true", "escape": '"', "quote": '"',
 def read_delimited_records(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """Line 1 names the fields, every later record is a row; all strings; missing
     cells are NULL.  A file is read in splits; with ``multi_line``, for quoted
-    fields that hold line breaks, each file is one task."""
-    return spark.read.options(**_CSV_READ).option("sep", sep).option("multiLine", multi_line).csv(path)
+    fields that hold line breaks, too (see :mod:`.records`)."""
+    if multi_line:
+        return read_records(spark, path, {**_CSV_READ, "sep": sep})
+    return spark.read.options(**_CSV_READ).option("sep", sep).csv(path)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
