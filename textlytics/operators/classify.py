@@ -11,7 +11,9 @@ u = postings / documents-with-terms of the text field:
 
 The last form only needs the (class, term) pairs that exist, so training is
 two aggregates and scoring is one join on term — no vocabulary × class
-product.  The class list is that of the labels and travels as one array value
+product.  The terms' weights are joined as vectors, one row for each term and block of ``BLOCK``
+classes of which one has the term: with up to ``BLOCK`` classes the join has a row for each posting, with
+more, one for each posting and block, and not for each posting and class.  The class list is that of the labels and travels as one array value
 (a scalar sub-query); per document the argmax over it is a higher-order
 function, ties going to the lowest class.
 """
@@ -24,12 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import analyze
+from .ordering import cut
+
+#: classes whose weights for a term stand in one row
+BLOCK = 8
 
 
 @dataclass
 class NBModel:
     classes: DataFrame      # (class, n_docs, log_prior, log_den)
     class_terms: DataFrame  # (class, term, hits)
+    vectors: DataFrame      # (term, block, w0..), see :func:`class_vectors`
 
 
 def class_tokens(labelled: DataFrame, id_col: str = "doc_id", class_col: str = "category") -> DataFrame:
@@ -38,6 +45,17 @@ def class_tokens(labelled: DataFrame, id_col: str = "doc_id", class_col: str = "
                             F.explode(F.array_distinct(analyze(F.col(class_col).cast("string")))).alias("class")))
 
 
+def class_vectors(post: DataFrame, ct: DataFrame) -> DataFrame:
+    """(term, block, w0..): ln(hits + 1) of a term for each class of a block, 0 where the class does not have
+    it, straight from the postings and the documents' classes.  Classes are numbered in their order; a
+    block is ``BLOCK`` of them."""
+    listed = ct.agg(F.array_sort(F.collect_set("class")).alias("c")).select(F.posexplode("c").alias("i", "class"))
+    placed = ct.join(listed, "class").select("doc_id", F.floor(F.col("i") / BLOCK).cast("int").alias("block"), (F.col("i") % BLOCK).alias("at"))
+    hits = post.select("doc_id", "term").join(placed, "doc_id").groupBy("term", "block").agg(
+        *[F.count(F.when(F.col("at") == k, 1)).alias(f"h{k}") for k in range(BLOCK)])
+    return hits.select("term", "block", *[F.log(F.col(f"h{k}") + 1.0).alias(f"w{k}") for k in range(BLOCK)])
+
+
 def nb_train(post: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
              class_col: str = "category") -> NBModel:
     """Train on (doc_id, category); ``post`` holds the text field of the
@@ -53,7 +71,7 @@ def nb_train(post: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
                        F.log(u * F.col("n_docs") + d_all).alias("log_den")))
     class_terms = (post.select("doc_id", "term").join(ct, "doc_id")
                    .groupBy("class", "term").agg(F.count(F.lit(1)).cast("long").alias("hits")))
-    return NBModel(classes, class_terms)
+    return NBModel(classes, class_terms, class_vectors(post, ct))
 
 
 def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str = "doc_id") -> DataFrame:
@@ -62,12 +80,12 @@ def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str =
     cls = model.classes.select(F.array_sort(F.collect_list(
         F.struct("class", "log_prior", "log_den"))).alias("c")).scalar()
     target = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    vectors = cut(model.vectors)
     partial = (post.select("doc_id", "term", "tf").join(target, "doc_id", "left_semi")
-               .join(model.class_terms, "term")
-               .groupBy("doc_id", "class")
-               .agg(F.sum(F.col("tf") * F.log(F.col("hits").cast("double") + 1.0)).alias("s"))
-               .groupBy("doc_id")
-               .agg(F.map_from_entries(F.collect_list(F.struct("class", "s"))).alias("m")))
+               .join(vectors, "term").groupBy("doc_id", "block")
+               .agg(*[F.sum(F.col("tf") * F.col(f"w{k}")).alias(f"s{k}") for k in range(BLOCK)])
+               .groupBy("doc_id")  # a row for each block of classes
+               .agg(F.map_from_entries(F.collect_list(F.struct("block", F.array(*[f"s{k}" for k in range(BLOCK)])))).alias("m")))
     lens = (target.join(post.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len")), "doc_id", "left")
             .select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len")))
     # the class array is projected first: sub-queries may not sit inside a lambda
@@ -75,7 +93,7 @@ def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str =
         "doc_id",
         F.array_max(F.transform("_cls", lambda c, i: F.struct(
             (c["log_prior"] - F.col("doc_len") * c["log_den"]
-             + F.coalesce(F.col("m")[c["class"]], F.lit(0.0))).alias("score"),
+             + F.coalesce(F.get(F.col("m")[F.floor(i / BLOCK).cast("int")], (i % BLOCK).cast("int")), F.lit(0.0))).alias("score"),
             (-i).alias("neg_idx"), c["class"].alias("class")))).alias("best"))
     return scored.select("doc_id", F.col("best.class").alias("predicted"), F.col("best.score").alias("score"))
 
