@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.text import MAX_TOKEN_LENGTH, STOP_WORDS, TOKEN_PATTERN, analyze, keep_token, raw_tokens
 
 POSTINGS_COLUMNS = ("doc_id", "term", "tf", "doc_len", "doc_terms")
+POSTINGS_SCHEMA = "doc_id long, term string, tf long, doc_len long, doc_terms long"
 
 
 #: operators over which a scan keeps its partitions

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import index as ix
 from ..operators import search as se
 from ..operators import stats as st
+from ..operators import term_table as tt
 from ..operators.ordering import running_totals
 from ..session import scratch_path
 from ..sources import fixtures as fx
@@ -46,11 +47,12 @@ def _docs(spark, sf_dir):
 
 
 def _indexed(spark, sf_dir):
-    """Postings of the text, saved as an index in the shared folder and read back, for
-    queries that read them in several passes: index once, then query."""
-    path = scratch_path(spark, "index")
-    ix.save_index(_post(spark, sf_dir), path)
-    return ix.load_index(spark, path, "text")
+    """Postings of the text, written to the shared folder and read back, for queries that read all
+    of them in several passes: analyse once, then query.  (A saved index is also sorted by
+    term, for lookups; that is a shuffle of all postings, and these queries look up none.)"""
+    path = scratch_path(spark, "postings")
+    _post(spark, sf_dir).write.parquet(path)
+    return spark.read.schema(ix.POSTINGS_SCHEMA).parquet(path)
 
 
 def _listed(spark, sf_dir, terms, col="term"):
@@ -211,6 +213,27 @@ def q_tfidf_weights(spark, sf_dir):
     return t.select("doc_id", "term", "tf", _r6(F.col("idf")).alias("idf"), _r6(F.col("weight")).alias("weight"))
 
 
+def _term_table(spark, sf_dir):
+    n = _docs(spark, sf_dir).count()
+    return tt.save_term_table(_post(spark, sf_dir), n, scratch_path(spark, "term-table")), n
+
+
+@query("term_table_doc_freqs", with_corpus("SELECT term, df FROM dfs"))
+def q_term_table_doc_freqs(spark, sf_dir):
+    return tt.table_doc_freqs(_term_table(spark, sf_dir)[0])
+
+
+@query("term_table_df_tf_listing", ORACLE["df_tf_listing"])
+def q_term_table_df_tf_listing(spark, sf_dir):
+    return tt.table_df_tf_listing(_term_table(spark, sf_dir)[0])
+
+
+@query("term_table_tfidf_weights", ORACLE["tfidf_weights"])
+def q_term_table_tfidf_weights(spark, sf_dir):
+    t = tt.table_tfidf_weights(*_term_table(spark, sf_dir))
+    return t.select("doc_id", "term", "tf", _r6(F.col("idf")).alias("idf"), _r6(F.col("weight")).alias("weight"))
+
+
 @query("tf_matrix", with_corpus(""", dict AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::BIGINT AS term_idx FROM dfs)
 SELECT p.doc_id, dict.term_idx, p.term, p.tf FROM post p JOIN dict ON dict.term = p.term"""))
 def q_tf_matrix(spark, sf_dir):
