@@ -315,8 +315,12 @@ def brute_contaminated(text, item):
 
     x, y = split(text), split(item)
     best = 0
-    if len(y) < decontamination.MIN_ITEM:
+    if not y:
         return False
+    if len(y) < 5:
+        return any(split(line) == y for line in (text or "").split("\n"))
+    if len(y) < 8:
+        return any(x[i:i + len(y)] == y for i in range(len(x)))
     for d in range(-len(y), len(x)):
         pairs = [x[d + q] == y[q] for q in range(len(y)) if 0 <= d + q < len(x)]
         seeded = any(all(pairs[s + k] for k, c in enumerate(m) if c == "1") for m in decontamination.MASKS
@@ -329,6 +333,7 @@ def brute_contaminated(text, item):
 
 def test_contamination_matches_brute_force(spark, tmp_path):
     items = [words(900 + i, n) for i, n in enumerate((30, 20, 14, 9, 5, 45))] + ["", None, words(900, 30), "éa üb çd " * 6]
+    items += ["yes", "Two words.", "just four short words", "two words"]
     texts = []
     for i, item in enumerate(items[:6]):
         n = len(item.split())
@@ -336,6 +341,7 @@ def test_contamination_matches_brute_force(spark, tmp_path):
             passage = changed(item, k, min(n, k * n // 15)).replace(" ", ",  ") if k else item.upper()
             texts.append(words(i * 10 + k, 20 * k) + " " + passage + ".\n" + words(300 + i * 10 + k, 15))
     texts += [" ".join(items[0].split()[:12]), " ".join(items[0].split()[:13]), "ÉA ÜB ÇD " * 6, "", words(7, 2500) + " " + items[1]]
+    texts += ["Yes!", "no\n - YES - \nno", "yes and no", "two words", "two words more", "x\n\njust  four, short words\n", "just four short", "words two words"]
     docs = stored(spark, tmp_path, texts, extra=[(4, texts[4]), (4, texts[4]), (None, items[1]), (700, None)])
     table = spark.createDataFrame(list(enumerate(items)) + [(0, items[0])], "item_id long, text string")
     got = decontamination.contaminated(numbered(docs.select("doc_id", "text")), table).collect()

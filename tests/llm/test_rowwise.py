@@ -297,3 +297,16 @@ def test_sharding_same_seed_same_order(spark, tmp_path):
 
 def test_sharding_empty_table(spark, tmp_path):
     assert sharding.shuffle_to_shards(empty(spark, tmp_path), str(tmp_path / "s"), 3).collect() == []
+
+
+def test_a_hot_shard_has_more_buckets(spark, tmp_path):
+    """A third of all rows has one id, and some have none: their shards' buckets stay as small as the others'."""
+    docs = stored(spark, tmp_path, [words(i, 30) for i in range(300)], extra=[(7, words(i, 30)) for i in range(150)] + [(None, "x" * 200)] * 40)
+    got = sharding.shuffle_to_shards(docs, str(tmp_path / "shards"), 5, bucket_bytes=4000)
+    size = spark.read.parquet(str(tmp_path / "shards")).groupBy("shard", "bucket").agg(F.sum("size").alias("bytes"))
+    files = Counter(r.shard for r in size.collect())
+    hot = got.where("doc_id = 7").first().shard
+    assert files[hot] > 2 * min(files.values()) and size.agg(F.max("bytes")).first()[0] < 3 * 4000
+    for r in got.groupBy("shard").agg(F.sort_array(F.collect_list("slot")).alias("slots")).collect():
+        assert r.slots == list(range(len(r.slots)))
+    assert got.count() == 490

@@ -12,11 +12,16 @@ Words are runs of ASCII letters, digits and characters beyond ASCII, in lower ca
   ``SIMILARITY`` of the words or more are equal must have ``MIN_WORDS`` words or
   more (of a shorter item, all its words).
 
+Short items are held to more, since running text has some of their words by chance.  Of an item of
+under ``FUZZY`` words all words must be equal, in a row.  An item of under ``LINE`` words has no window; it
+counts where a whole line of a document has just its words: such lines are hashed as a whole, and those
+hashes go the same way as the windows'.
+
 One row for each contaminated pair: doc_id, item_id, n_words (of the stretch), n_equal,
 first_word and end_word (in the document, from 0, end exclusive; cut to equal words).
 
-Defined cases: null and empty texts have no words; items of fewer than ``MIN_ITEM`` words are
-not searched, since running text has them by chance; repeated rows of either
+Defined cases: null and empty texts have no words, and items without words contaminate
+nothing; repeated rows of either
 table give a row each; a null id is kept; an empty table gives no rows; columns other than
 the ids and texts are not read (by ``decontaminated``: kept).
 """
@@ -36,7 +41,9 @@ from textlytics.llm.common import (U64, PrefixHash, bitmap, documents, mix, numb
 
 MASKS = ("11111", "111101", "110111", "1110011", "1101101")
 MIN_WORDS = 13
-MIN_ITEM = 8
+#: words from which an item may differ in some, and from which it is found inside of a line
+FUZZY = 8
+LINE = min(map(len, MASKS))
 SIMILARITY = 0.8
 BITMAP_BITS = 24
 
@@ -45,10 +52,30 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WORD[128:] = True
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the words of a chunk in lower case."""
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start) of the words of a chunk in lower case."""
     start, end, row = runs(_WORD[data], offs)
-    return PrefixHash(data).of(start, end), row
+    return PrefixHash(data).of(start, end), row, start
+
+
+def whole_hashes(h: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The hash of all words of each short line or item: ``count`` words, under ``LINE``, from ``first`` on."""
+    mult = seeded(LINE, 90) | U64(1)
+    s = count.astype(U64) * U64(0x9E3779B97F4A7C15)
+    for j in range(LINE - 1):
+        has = count > j
+        s[has] += h[first[has] + j] * mult[j]
+    return mix(s)
+
+
+def line_seeds(data: np.ndarray, offs: np.ndarray, h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, index of the first word) of the lines of one to ``LINE`` - 1 words."""
+    begin = np.union1d(offs[:-1], np.flatnonzero(data == 10) + 1)
+    line = np.searchsorted(begin, start, "right") - 1
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    count = np.diff(np.append(first, len(line)))
+    short = count < LINE
+    return whole_hashes(h, first[short], count[short]), first[short]
 
 
 def seeds(h: np.ndarray, row: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -81,15 +108,15 @@ def longest_stretch(equal: np.ndarray, similarity: float) -> tuple[int, int]:
     return best
 
 
-def _item_words(items: DataFrame, min_item: int) -> DataFrame:
-    """(item, item_id, words binary) of the items with enough words."""
+def _item_words(items: DataFrame) -> DataFrame:
+    """(item, item_id, words binary) of the items with words."""
     rows = numbered(items.select("item_id", "text")).withColumnRenamed("row", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in text_chunks(batches, lower=True):
-            h, row = words(data, offs)
+            h, row, _ = words(data, offs)
             cut = np.searchsorted(row, np.arange(len(offs)))
-            got = [h[a:b].tobytes() if b - a >= min_item else None for a, b in zip(cut, cut[1:])]
+            got = [h[a:b].tobytes() if b > a else None for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), pa.array(got, pa.binary())],
                                              names=["item", "item_id", "words"])
 
@@ -98,15 +125,17 @@ def _item_words(items: DataFrame, min_item: int) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY,
-                 min_words: int = MIN_WORDS, min_item: int = MIN_ITEM) -> DataFrame:
+                 min_words: int = MIN_WORDS) -> DataFrame:
     """The contaminated pairs with ``row``; docs has a column row (see ``numbered``)."""
-    item_words = written(_item_words(items, min_item), "items")
+    item_words = written(_item_words(items), "items")
+    short_items = not item_words.where(F.octet_length("words") < 8 * LINE).isEmpty()
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, raw in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
                 h = np.frombuffer(raw, U64)
-                for s, at in seeds(h, np.zeros(len(h), np.int64)):
+                whole = [(whole_hashes(h, np.array([0]), np.array([len(h)])), np.array([0]))] if len(h) < LINE else []
+                for s, at in [*seeds(h, np.zeros(len(h), np.int64)), *whole]:
                     yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), pa.array(np.full(len(s), item)),
                                                       pa.array(at.astype(np.int32))], names=["seed", "item", "at"])
 
@@ -117,9 +146,9 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
         bits = known.value
         for batch, data, offs in text_chunks(batches, lower=True):
             ids = batch.column("row").to_numpy()
-            h, row = words(data, offs)
+            h, row, start = words(data, offs)
             first = np.searchsorted(row, np.arange(len(offs) - 1))
-            for s, at in seeds(h, row):
+            for s, at in [*seeds(h, row), *([line_seeds(data, offs, h, start)] if short_items else [])]:
                 hit = passes(bits, s)
                 s, at = s[hit], at[hit]
                 r = row[at]
@@ -136,7 +165,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
         for batch in batches:
             few = batch.filter(pa.array(passes(bits, batch.column("mark").to_numpy())))
             for part, data, offs in text_chunks([few], lower=True):
-                h, row = words(data, offs)
+                h, row, _ = words(data, offs)
                 cut = np.searchsorted(row, np.arange(len(offs)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:])],
                                                                                pa.binary())], names=["row", "doc_words"])
@@ -154,6 +183,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
                 for d in diagonals:
                     a, b = max(0, -d), min(len(y), len(x) - d)
                     equal = x[a + d:b + d] == y[a:b]
+                    if len(y) < FUZZY and not (len(equal) == len(y) and equal.all()):
+                        continue
                     i, j = longest_stretch(equal, similarity)
                     at = np.flatnonzero(equal[i:j])
                     if len(at):

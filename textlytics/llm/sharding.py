@@ -57,17 +57,21 @@ def shuffle_to_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, seed:
     spark = docs.sparkSession
     docs = docs.drop(*ADDED, "slot")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    per_shard = max(1, math.ceil(total / n_shards / bucket_bytes))
-    rows = (docs.withColumn("shard", shard_of(F.col("doc_id"), n_shards, seed))
+    shard = shard_of(F.col("doc_id"), n_shards, seed)
+    # a shard that a frequent id (or null) makes large has more buckets, not larger ones
+    sizes = {r["shard"]: r["bytes"] for r in docs.groupBy(shard.alias("shard")).agg(F.sum(size).alias("bytes")).collect()}  # n_shards rows
+    buckets = [max(1, math.ceil(sizes.get(s, 0) / bucket_bytes)) for s in range(n_shards)]
+    before = np.concatenate([[0], np.cumsum(buckets)])  # buckets of the shards before
+    of_shard = lambda x: F.get(F.array(*[F.lit(int(v)) for v in x]), F.col("shard"))
+    rows = (docs.withColumn("shard", shard)
             .withColumn("grown_shard", shard_of(F.col("doc_id"), n_shards + 1, seed))
             .withColumn("size", size)
             .withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
             .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.monotonically_increasing_id()),
-                                         F.lit(per_shard)).cast("int"))
+                                         of_shard(buckets)).cast("int"))
             .withColumn("place", F.lit(0).cast("long")))
     order = ["shard", "bucket", "doc_id", "text_crc32"]
-    dealt = (rows.repartitionById(n_shards * per_shard, F.col("shard") * per_shard + F.col("bucket"))
+    dealt = (rows.repartitionById(int(before[-1]), (of_shard(before[:-1]) + F.col("bucket")).cast("int"))
              .sortWithinPartitions(*order))
 
     def fisher_yates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +86,13 @@ def shuffle_to_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, seed:
             yield from table.to_batches(max_chunksize=4096)
 
         for batch in batches:
-            ids = batch.column("shard").to_numpy().astype(np.int64) * per_shard + batch.column("bucket").to_numpy()
+            shards, numbers = batch.column("shard").to_numpy(), batch.column("bucket").to_numpy()
+            ids = before[shards] + numbers
             cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                key = divmod(int(ids[a]), per_shard)
+                key = int(shards[a]), int(numbers[a])
                 if of is not None and key != of:
                     yield from out()
                     held.clear()
@@ -100,9 +105,9 @@ def shuffle_to_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, seed:
     shuffled.write.partitionBy("shard").parquet(path)
     schema = T.StructType([f for f in shuffled.schema if f.name != "shard"] + [shuffled.schema["shard"]])
     files = spark.read.schema(schema).parquet(path)
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = (files.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-             .withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"))
+             .withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
     return (files.join(first, ["shard", "bucket"])
             .withColumn("slot", F.col("first") + F.col("place")).drop("first", "place", "bucket"))
 
