@@ -18,7 +18,7 @@ from ..operators import index as ix
 from ..operators import search as se
 from ..operators import stats as st
 from ..operators import term_table as tt
-from ..operators.ordering import running_totals
+from ..operators.ordering import cut, running_totals
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from .oracle import (analyze_sql, keyword_terms_sql, scored_sql, sql_list, sql_str, title_sql,
@@ -61,8 +61,9 @@ def _listed(spark, sf_dir, terms, col="term"):
 
 
 def _searched(spark, sf_dir, keywords, col="keyword"):
-    """Postings of the terms that a table of keywords asks for."""
-    return ix.listed_postings(_docs(spark, sf_dir), se.keyword_terms(keywords, col))
+    """Postings of the terms that a table of keywords asks for; written, since a search reads them
+    twice (frequencies, then scores) and the texts should be analysed once."""
+    return cut(ix.listed_postings(_docs(spark, sf_dir), se.keyword_terms(keywords, col)))
 
 
 def _r6(c):
