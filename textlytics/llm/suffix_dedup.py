@@ -5,7 +5,7 @@ earlier: in a document with a smaller id, or further left in the same one.  Stri
 judged on the input and never cross documents.
 
 Most strings of a corpus occur once, and neighbouring strings share all but one byte, so
-the strings are compared in families, which a hash of 128 bits stands for:
+the strings are compared in families, which two hashes stand for (of one polynomial: together 64 bits that tell apart; bytes are not compared):
 
 1. Documents of equal bytes: all but the first lose everything (if ``LENGTH`` bytes long).
 2. Segments.  Every string has an anchor: among its ``GRAM``-byte grams the leftmost of those
