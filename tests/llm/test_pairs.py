@@ -291,9 +291,8 @@ def test_short_near_copies_in_a_large_bucket(spark, tmp_path):
         line = words(4000 + i, 13)
         texts += [line, line.rsplit(" ", 1)[0] + f" zz{i}"]
     docs = numbered(stored(spark, tmp_path, texts).select("doc_id", "text"))
-    reps = near_dedup.signed(docs).selectExpr("row AS node", "doc_id", "key", "key64")
-    sets = near_dedup._Multisets(docs, reps)
-    members = reps.selectExpr("1L AS bucket", "node", "0L AS sketch")
+    sets = near_dedup._Multisets(docs)
+    members = docs.selectExpr("1L AS bucket", "row AS node", "0L AS sketch")
     placed = groups.connected(members, 0, near_dedup._verifier(sets, 0.8), sets.bound, 0.8, near_dedup.WIDE_LIMIT)
     at = {r.row: r.doc_id for r in docs.collect()}
     found = defaultdict(set)

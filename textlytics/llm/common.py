@@ -29,11 +29,14 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 #: rows of whole texts that go to a Python worker at once (Spark's 10,000 suit short rows)
 BATCH_ROWS = 1000
+#: and their bytes (a single longer row is one batch)
+BATCH_BYTES = 8 << 20
 
 
 def long_rows(spark: SparkSession) -> SparkSession:
     """The session, set to hand texts to Python in small batches and to number rows alike in every job."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return fixed_splits(spark)
 
 

@@ -50,6 +50,8 @@ SKETCH_BITS = 22
 #: probabilistic: 4.5 deviations, some 3 in a million such pairs are lost, fewer of more similar ones
 WIDE_BITS = 2048
 WIDE_LIMIT = 266
+#: pairs of one document that are compared in one task at most, on average
+PARTNERS = 256
 #: registers that stay empty on average when points up to the first bound are drawn: e**-SLACK
 SLACK = 4.0
 
@@ -148,12 +150,8 @@ def _keys(data: np.ndarray, offs: np.ndarray) -> list[bytes]:
             for a, b in zip(offs, offs[1:])]
 
 
-def _key64(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(keys), np.int64)[::2]
-
-
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, key, key64, n_shingles, bands array<long>, sketch long), a row for each document."""
+    """(doc_id, row, key, n_shingles, bands array<long>, sketch long), a row for each document."""
     mult = seeded(REGISTERS, 21) | U64(1)
     width = REGISTERS // BANDS
 
@@ -169,13 +167,13 @@ def signed(docs: DataFrame) -> DataFrame:
             sketch = ((sig & U64(1)) << np.arange(REGISTERS, dtype=U64)).sum(1, dtype=U64)
             count, keys = np.bincount(srow, minlength=rows), _keys(data, offs)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.binary()), pa.array(_key64(keys)), pa.array(count),
+                batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.binary()), pa.array(count),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, rows * BANDS + 1, BANDS, dtype=np.int32)),
                                          pa.array(band.reshape(-1).astype(np.int64))),
-                pa.array(sketch.astype(np.int64))], names=["doc_id", "row", "key", "key64", "n_shingles", "bands", "sketch"])
+                pa.array(sketch.astype(np.int64))], names=["doc_id", "row", "key", "n_shingles", "bands", "sketch"])
 
     rows = docs.select("doc_id", "text", "row")
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"]]).add("row", "long").add("key", "binary").add("key64", "long").add("n_shingles", "long")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"]]).add("row", "long").add("key", "binary").add("n_shingles", "long")
                            .add("bands", T.ArrayType(T.LongType())).add("sketch", "long"))
 
 
@@ -193,34 +191,28 @@ def wide_bits(units: np.ndarray) -> np.ndarray:
 class _Multisets:
     """The multisets of documents asked for, as sorted hashes of (shingle, occurrence)."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame):
-        self.docs, self.reps = docs, reps
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
 
-    def of(self, nodes: DataFrame) -> DataFrame:
-        """(node, units binary) of distinct nodes; the documents are read again, and a bitmap
-        of fixed size passes over most of the others."""
-        ids = written(nodes.join(self.reps, "node"), "asked")
-        mark = F.col("key64").bitwiseXOR(F.xxhash64("doc_id"))
-        asked = nodes.sparkSession.sparkContext.broadcast(bitmap(ids.withColumn("mark", mark), "mark"))
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """The rows of ``wanted`` (node, ..) with units binary.  Nodes are row numbers; the documents are
+        read again, and a bitmap of fixed size passes over most of the others before their words are cut."""
+        known = wanted.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("node").alias("mark")), "mark"))
 
         def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = asked.value
-            for batch, data, offs in text_chunks(batches):
-                keys = _keys(data, offs)
-                keep = passes(words, _key64(keys) ^ batch.column("id_hash").to_numpy())
-                for part, some, cuts in text_chunks([batch.filter(pa.array(keep))]):
+            words = known.value
+            for batch in batches:
+                asked = batch.filter(pa.array(passes(words, batch.column("mark").to_numpy())))
+                for part, some, cuts in text_chunks([asked]):
                     s, srow, nth = _units(some, cuts)
                     unit = mix(s + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
                     cut = np.searchsorted(srow, np.arange(len(cuts)))
                     yield pa.RecordBatch.from_arrays([
-                        part.column("doc_id"), pa.array(_keys(some, cuts), pa.binary()),
-                        pa.array([np.sort(unit[x:y]).tobytes() for x, y in zip(cut, cut[1:])], pa.binary())],
-                        names=["doc_id", "key", "units"])
+                        part.column("row"), pa.array([np.sort(unit[x:y]).tobytes() for x, y in zip(cut, cut[1:])], pa.binary())],
+                        names=["node", "units"])
 
-        rows = self.docs.select("doc_id", "text", F.xxhash64("doc_id").alias("id_hash"))
-        found = rows.mapInArrow(units, T.StructType([rows.schema["doc_id"]]).add("key", "binary").add("units", "binary"))
-        return written(ids.join(found, ids["doc_id"].eqNullSafe(found["doc_id"]) & (ids["key"] == found["key"]))
-                       .groupBy("node").agg(F.min("units").alias("units")), "units")
+        rows = self.docs.select("row", "text", F.xxhash64("row").alias("mark"))
+        return wanted.join(rows.mapInArrow(units, "node long, units binary"), "node")
 
     def bound(self, nodes: DataFrame) -> DataFrame:
         """(node, size, own, w0..): the elements of a multiset, those that no other node here has,
@@ -243,7 +235,7 @@ class _Multisets:
                     units = np.frombuffer(raw.as_buffer(), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), node)), pa.array(units)], names=["node", "unit"])
 
-        units = self.of(nodes)
+        units = written(self.of(nodes), "units")
         own = (units.mapInArrow(explode, "node long, unit long").groupBy("unit")
                .agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
                .groupBy("node").agg(F.count("*").alias("own")))
@@ -252,27 +244,44 @@ class _Multisets:
         return sketches.join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"), *names)
 
 
-def _verifier(sets: _Multisets, threshold: float):
-    """Candidate pairs of representatives to those whose multisets overlap enough."""
-    def verify(pairs: DataFrame) -> DataFrame:
-        texts = sets.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-
-        def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column("ua"), batch.column("ub")):
-                    x, y = (np.frombuffer(u.as_buffer(), U64) for u in (x, y))
-                    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                        keep.append(False)
-                        continue
-                    both = np.sort(np.concatenate([x, y]))
+def _overlaps(threshold: float):
+    """Of rows (home, node, units) sorted by home, its own row first, the pairs whose multisets overlap enough."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, of = None, np.zeros(0, U64)
+        for batch in batches:
+            a, b = [], []
+            for h, node, raw in zip(batch.column("home").to_pylist(), batch.column("node").to_pylist(), batch.column("units")):
+                units = np.frombuffer(raw.as_buffer(), U64)
+                if h == node:
+                    home, of = h, units.copy()
+                elif h == home and min(len(of), len(units)) >= threshold * max(len(of), len(units)):
+                    both = np.sort(np.concatenate([of, units]))
                     n = np.count_nonzero(both[1:] == both[:-1])
-                    keep.append(n >= threshold * (len(both) - n) - 1e-9)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+                    if n >= threshold * (len(both) - n) - 1e-9:
+                        a.append(min(h, node))
+                        b.append(max(h, node))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
 
-        left = texts.select(F.col("node").alias("a"), F.col("units").alias("ua"))
-        right = texts.select(F.col("node").alias("b"), F.col("units").alias("ub"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub").mapInArrow(overlap, pairs.schema)
+def _verifier(sets: _Multisets, threshold: float):
+    """Candidate pairs of representatives to those whose multisets overlap enough.
+
+    The document of a pair that has more pairs is its home.  The other's multiset goes there, and the
+    home's own goes out once for each ``PARTNERS`` of its pairs, so no task holds more of a hot one."""
+    def verify(pairs: DataFrame) -> DataFrame:
+        degree = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("n")), "degrees")
+        both = (pairs.join(degree.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+                .join(degree.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"))
+        more = F.col("na") >= F.col("nb")
+        node, parts = F.when(more, F.col("b")).otherwise(F.col("a")), F.ceil(F.greatest("na", "nb") / PARTNERS)
+        meets = written(both.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("home"),
+                                    F.pmod(F.xxhash64(node), parts).alias("part"), node.alias("node")), "meets")
+        wanted = written(meets.union(meets.select("home", "part", F.col("home").alias("node")).distinct()), "asked")
+        away = F.when(F.col("home") == F.col("node"), F.lit(0)).otherwise(F.lit(1))
+        met = sets.of(wanted).repartition("home", "part").sortWithinPartitions("home", "part", away)
+        return met.select("home", "node", "units").mapInArrow(_overlaps(threshold), pairs.schema)
 
     return verify
 
@@ -297,11 +306,11 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     """The classes with the number ``row`` of every document and ``first`` of its class."""
     rows = written(signed(docs).withColumn("node", F.col("row")), "signatures")
     wordy = rows.where("n_shingles > 0")
-    first = F.min(F.struct("doc_id", "node", "key64", "bands", "sketch")).alias("r")
+    first = F.min(F.struct("doc_id", "node", "bands", "sketch")).alias("r")
     reps = written(wordy.groupBy("key").agg(first).select("key", "r.*"), "representatives")
     members = (reps.select("node", "sketch", F.explode(F.array_distinct("bands")).alias("bucket"))
                .select("bucket", "node", "sketch"))
-    sets = _Multisets(docs, reps.select("node", "doc_id", "key", "key64"))
+    sets = _Multisets(docs)
     placed = connected(members, SKETCH_BITS, _verifier(sets, threshold), sets.bound, threshold, WIDE_LIMIT)
     # the group of every text, and its first document
     of = written(reps.join(placed, "node", "left").select("key", "doc_id", "node", F.coalesce("root", "node").alias("root")), "placed")
