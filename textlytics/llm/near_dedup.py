@@ -230,14 +230,15 @@ class _Multisets:
                                                  names=["node", "size", *(f"w{k}_" for k in range(WIDE_BITS // 64))])
 
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for node, raw in zip(batch.column("node").to_pylist(), batch.column("units")):
-                    units = np.frombuffer(raw.as_buffer(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), node)), pa.array(units)], names=["node", "unit"])
+            for batch in filter(len, batches):  # an element that several nodes of the batch have leaves it once
+                units = [np.frombuffer(raw.as_buffer(), np.int64) for raw in batch.column("units")]
+                node = np.repeat(batch.column("node").to_numpy(), [len(u) for u in units])
+                unit, first, n = np.unique(np.concatenate(units), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(unit), pa.array(n.astype(np.int64))], names=["node", "unit", "n"])
 
         units = written(self.of(nodes), "units")
-        own = (units.mapInArrow(explode, "node long, unit long").groupBy("unit")
-               .agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1")
+        own = (units.mapInArrow(explode, "node long, unit long, n long").groupBy("unit")
+               .agg(F.min("node").alias("node"), F.sum("n").alias("n")).where("n = 1")
                .groupBy("node").agg(F.count("*").alias("own")))
         names = [f"w{k}_" for k in range(WIDE_BITS // 64)]
         sketches = units.mapInArrow(wide, ", ".join(f"{c} long" for c in ["node", "size", *names]))
