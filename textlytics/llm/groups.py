@@ -98,12 +98,12 @@ def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], Data
     ``sieve``: from a broadcast bitmap of buckets the members that may be in them (else all
     members are joined with the shared buckets)."""
     near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= limit
-    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("c")).where("n > 1"), "buckets")
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     if sieve is not None:
         members = sieve(shared.sparkSession.sparkContext.broadcast(bitmap(shared, "bucket", BITMAP_BITS)))  # of fixed size
     live = written(members.join(shared, "bucket"), "members")
     centre = ["bucket", F.col("c")["node"].alias("node2"), F.col("c")["sketch"].alias("sketch2")]
-    first = live.where("node = c").select("bucket", F.col("node").alias("node2"), F.col("sketch").alias("sketch2"))
+    first = live.groupBy("bucket").agg(F.min(F.struct("node", "sketch")).alias("c")).select(*centre)
     many = live.where(F.col("n") > SMALL)
     most = written(_majority(many), "majority")
     away = F.bit_count(F.col("sketch").bitwiseXOR(F.col("most")))
