@@ -13,8 +13,7 @@ components of the verified candidates:
    outside a bucket's largest component meet all its members of other components; the
    sketches are compared inside the join.  Pairs within one component need no test.
    In buckets of over ``LARGE`` members ``bound`` rules out pairs, if given: it has for every node its
-   size, how many of its elements no other node there has, and a wide sketch.  Two nodes
-   share at most the rest, which bounds their Jaccard similarity.  Without ``bound`` the
+   size and a wide sketch.  Sizes bound the Jaccard similarity.  Without ``bound`` the
    pairs of such buckets also agree on one of ``limit`` + 1 parts of their sketches, if those have
    ``PART_BITS`` bits or more.
 4. Components of all verified links.
@@ -92,7 +91,7 @@ def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], Data
 
     ``members``: bucket long, node long, sketch long, a node once in a bucket.
     ``verify``: from distinct pairs (a, b) with a < b those that are near copies.
-    ``bound``: from nodes to (node, size, own, and longs w0_, w1_ .. of a wide sketch); near copies
+    ``bound``: from nodes to (node, size, and longs w0_, w1_ .. of a wide sketch); near copies
     have a Jaccard similarity of ``threshold`` at least, and their wide sketches differ in
     ``wide_limit`` bits at most.
     ``sieve``: from a broadcast bitmap of buckets the members that may be in them (else all
@@ -141,14 +140,13 @@ def connected(members: DataFrame, limit: int, verify: Callable[[DataFrame], Data
         finer = large.withColumn("bucket", F.explode(F.array(*parts)))
         more = pairs(rest(open_.where(F.col("n") <= LARGE))).union(pairs(rest(finer))).distinct()
     else:
-        known = written(bound(large.select("node").distinct()).where(F.col("size") - F.col("own") >= threshold * F.col("size")), "bounds")
+        known = written(bound(large.select("node").distinct()), "bounds")
         large = written(large.join(known, "node"), "large")
-        both = F.least(F.col("size") - F.col("own"), F.col("size2") - F.col("own2"))
-        able = both >= threshold * (F.col("size") + F.col("size2") - both)
+        able = F.least("size", "size2") >= threshold * F.greatest("size", "size2")
         wide = [c for c in known.columns if c[0] == "w"]
         apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in wide), F.lit(0))
         more = pairs(rest(open_.where(F.col("n") <= LARGE))).union(
-            pairs(rest(large, "size", "own", *wide).where(able & (apart <= wide_limit)))).distinct()
+            pairs(rest(large, "size", *wide).where(able & (apart <= wide_limit)))).distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"), "strays")
     if more.isEmpty():
         return placed

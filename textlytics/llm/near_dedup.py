@@ -215,8 +215,7 @@ class _Multisets:
         return wanted.join(rows.mapInArrow(units, "node long, units binary"), "node")
 
     def bound(self, nodes: DataFrame) -> DataFrame:
-        """(node, size, own, w0..): the elements of a multiset, those that no other node here has,
-        and one bit of each of ``WIDE_BITS`` minimum hashes of the elements."""
+        """(node, size, w0..): the elements of a multiset and one bit of each of ``WIDE_BITS`` minimum hashes of the elements."""
         def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = np.zeros((batch.num_rows, WIDE_BITS), np.uint8)
@@ -229,20 +228,8 @@ class _Multisets:
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), *(pa.array(c) for c in longs.T.copy())],
                                                  names=["node", "size", *(f"w{k}_" for k in range(WIDE_BITS // 64))])
 
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in filter(len, batches):  # an element that several nodes of the batch have leaves it once
-                units = [np.frombuffer(raw.as_buffer(), np.int64) for raw in batch.column("units")]
-                node = np.repeat(batch.column("node").to_numpy(), [len(u) for u in units])
-                unit, first, n = np.unique(np.concatenate(units), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(unit), pa.array(n.astype(np.int64))], names=["node", "unit", "n"])
-
-        units = written(self.of(nodes), "units")
-        own = (units.mapInArrow(explode, "node long, unit long, n long").groupBy("unit")
-               .agg(F.min("node").alias("node"), F.sum("n").alias("n")).where("n = 1")
-               .groupBy("node").agg(F.count("*").alias("own")))
         names = [f"w{k}_" for k in range(WIDE_BITS // 64)]
-        sketches = units.mapInArrow(wide, ", ".join(f"{c} long" for c in ["node", "size", *names]))
-        return sketches.join(own, "node", "left").select("node", "size", F.coalesce("own", F.lit(0)).alias("own"), *names)
+        return self.of(nodes).mapInArrow(wide, ", ".join(f"{c} long" for c in ["node", "size", *names]))
 
 
 def _overlaps(threshold: float):
