@@ -29,7 +29,7 @@ HEADLINE = [
     "term_distribution",    # R1: coverage with running share
     "batch_search",         # Q6: ranked search for a keyword table
     "keyword_detail_report",  # R4: keyword × title substring matches
-    "pairwise_cosine",      # M4: classes of equal documents, and their pairs with a cosine of 0.8 or more
+    "pairwise_cosine",      # M4: classes of equal documents, and all their pairs that share a term
     "term_cooccurrence_all",  # M2: pairs of the whole vocabulary that a hundredth of the documents have
     "nb_classify",          # C2: Naive Bayes labelling of every document
 ]
