@@ -61,3 +61,23 @@ def test_signatures_tell_keywords_with_one_beginning_apart(spark):
     texts = docs_df(spark, ["payment policy " + str(i) for i in range(1000, 1020)]).select(F.col("text").alias("_lower"))
     found = mt.signatures(kw, texts)
     assert found.count() == 2000 and found.groupBy("gram").count().agg(F.max("count")).first()[0] < 60
+
+
+def test_long_list_shuffles_no_text_for_its_matches(spark, monkeypatch):
+    """The same rows, whether the signatures are sent to the texts or, as for a longer list, meet the numbers of texts only."""
+    kw = spark.createDataFrame([(f"word{i % 700:03d}",) for i in range(900)], "keyword string")
+    texts = ["word001 word002", "xword699 word0", "", None, "word001 word002"]
+    tickets = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts)] + [(None, "word010")], "id long, title string")
+    want = Counter((i, k.keyword) for i, t in [(r.id, r.title) for r in tickets.collect()] for k in kw.collect() if t and k.keyword in t)
+    monkeypatch.setattr(mt, "GRAM", 7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = mt.keyword_matches(tickets, kw, "id")
+        plan = sent._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(mt, "SENT_KEYWORDS", 5)
+        met = mt.keyword_matches(tickets, kw, "id")
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        for got in (sent, met):
+            assert Counter(map(tuple, got.collect())) == want and len(want) == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -7,8 +7,9 @@ keywords with a common beginning are told apart by what follows it.
 
 Every text that contains a keyword has its signature among its own substrings.  A bitmap of fixed size says
 which substrings may be signatures; a text keeps those, they are joined with the signatures, and the
-keyword is verified on the text.  The list itself never travels whole: neither to the driver nor,
-unless the planner finds it small, to the tasks.
+keyword is verified on the text.  Signatures of up to ``SENT_KEYWORDS`` keywords are sent to the texts, which are
+not shuffled.  A longer list never travels whole: the substrings meet it with the number of their text only, and each
+text then meets its candidates once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .index import spread
-from .ordering import cut
+from .ordering import bounded_broadcast, cut, is_bounded
 
 #: characters of a signature
 GRAM = 4
@@ -27,6 +28,8 @@ GRAM = 4
 SAMPLE_ROWS = 2000
 #: bits of the bitmap of signatures, as a power of two; two for each signature
 BITS = 23
+#: keywords whose signatures are sent to every task
+SENT_KEYWORDS = 200_000
 #: entries of a keyword list that are tested one by one in each row
 IN_ROW_KEYWORDS = 500
 
@@ -99,9 +102,19 @@ def keyword_matches(tickets: DataFrame, keywords: DataFrame, *carry: str, in_row
     if not lengths:
         return rows.select(*carry, F.lit(None).cast("string").alias("keyword")).where(F.lit(False))
     words = _bitmap(found, BITS)
+
     # explode_outer: plain explode would add a filter that makes the substrings twice.  The bitmap is looked at
     # in the same generated loop, so the text is copied for the substrings that pass only.
-    grams = (rows.select(*carry, "_lower", F.explode_outer(_grams(F.col("_lower"), lengths)).alias("gram"))
-             .where(F.col("gram").isNotNull() & _may_be(F.col("gram"), words, BITS)))
-    return (grams.join(found.select("keyword", "n", "gram"), "gram").where(F.contains(F.col("_lower"), F.col("keyword")))
-            .select(*carry, F.explode(F.array_repeat("keyword", F.col("n").cast("int"))).alias("keyword")))
+    def hits(texts: DataFrame, *columns: str) -> DataFrame:
+        return (texts.select(*columns, F.explode_outer(_grams(F.col("_lower"), lengths)).alias("gram"))
+                .where(F.col("gram").isNotNull() & _may_be(F.col("gram"), words, BITS))
+                .join(bounded_broadcast(found.select("keyword", "n", "gram"), SENT_KEYWORDS), "gram"))
+
+    if tickets.isStreaming or is_bounded(found, SENT_KEYWORDS):
+        held = hits(rows, *carry, "_lower").where(F.contains(F.col("_lower"), F.col("keyword")))
+        return held.select(*carry, F.explode(F.array_repeat("keyword", F.col("n").cast("int"))).alias("keyword"))
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))  # written: the numbers stay
+    of = hits(rows, "_row").groupBy("_row").agg(F.collect_list(F.struct("keyword", "n")).alias("_of"))  # of one text
+    held = F.filter("_of", lambda k: F.contains(F.col("_lower"), k["keyword"]))
+    return (rows.join(of, "_row").select(*carry, F.explode(held).alias("_k"))
+            .select(*carry, F.explode(F.array_repeat("_k.keyword", F.col("_k.n").cast("int"))).alias("keyword")))
