@@ -43,3 +43,25 @@ def test_coverage_does_not_depend_on_the_leading_terms(spark):
     want = Counter(min(x, key=lambda t: (-df[t], t)) for x in docs if x)
     for top in (256, 2, 0):
         assert {r.term: r.n_new for r in rp.first_covers(sets, dfs, top).collect()} == want
+
+
+def test_postings_are_made_in_the_row_and_repeated_ids_count_together(spark, monkeypatch):
+    from textlytics.operators import index as ix
+    rows = [(1, "red apple red"), (2, "green"), (1, "apple pie"), (None, "null id"), (None, "null null"), (3, None), (4, "the"), (5, "zz aa zz zz")]
+    once = spark.createDataFrame([r for r in rows if r[0] not in (1, None)], "doc_id long, text string")
+    assert "Aggregate" not in postings(once)._jdf.queryExecution().optimizedPlan().toString()
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    tf, length, terms = {}, {}, {}
+    for i, t in rows:
+        words = [w for w in (t or "").split() if w != "the"]
+        for w in words:
+            tf[i, w] = tf.get((i, w), 0) + 1
+            length[i, w] = max(length.get((i, w), 0), len(words))
+            terms[i, w] = max(terms.get((i, w), 0), len(set(words)))
+    want = {(*k, n, length[k], terms[k]) for k, n in tf.items()}
+    for most in (200_000, 1):
+        monkeypatch.setattr(ix, "REPEATED_IDS", most)
+        got = [tuple(r) for r in postings(d).collect()]
+        assert set(got) == want and len(got) == len(want)
+        got = [(r.doc_id, r.term, r.tf, r.doc_len, r.doc_terms) for r in ix.index_documents(d).collect()]
+        assert set(got) == want and len(got) == len(want)
