@@ -52,6 +52,20 @@ def test_written_by_hand(spark, tmp_path, small_splits, text):
     assert got.columns == want.columns and rows(same) == rows(want)
 
 
+def test_text_is_not_shuffled(spark, tmp_path, small_splits):
+    """Lines are put together where they are read; only parts of records that splits cut are joined by a shuffle."""
+    path = str(tmp_path / "sheet")
+    long = "\n".join("x" * 50 + '"' * (i % 3) for i in range(40))  # goes over many splits
+    table = [(i, long if i % 25 == 3 else "a\nb") for i in range(60)]
+    fl.write_delimited(spark.createDataFrame(table, "id long, `text\nwith a long name of many letters` string").coalesce(1), path)
+    got = fl.read_delimited_records(spark, path, multi_line=True)
+    assert {tuple(r) for r in got.collect()} == {(str(i), t) for i, t in table} and got.count() == 60
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Window" not in plan
+    lines = rc.numbered_lines(spark, path).count()
+    assert rc.numbered_lines(spark, path).select("file", "block").distinct().count() > 20 and lines > 60 * 2
+
+
 def test_no_rows(spark, tmp_path):
     path = str(tmp_path / "empty")
     fl.write_delimited(spark.range(0).select(F.col("id").cast("string").alias("a"), F.lit("x").alias("b")), path)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlytics.session import ensure_checkpoint_dir
+from textlytics.session import ensure_checkpoint_dir, fixed_splits
 
 U64 = np.uint64
 #: bytes of text that one vectorised step looks at (a single longer text is one step)
@@ -57,17 +57,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fixed_splits(spark: SparkSession) -> SparkSession:
-    """The session, set to split files the same way from now on.
-
-    Spark cuts a scan by the number of cores that it sees when a job starts.  That number
-    falls when an executor is lost, and row numbers by split would name other rows then."""
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        cores = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism
-        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
-    return spark
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a unique long column row; rows of files have the same number whenever
     they are read in this session, with any number of cores (write other tables first)."""
