@@ -13,7 +13,9 @@ The last form only needs the (class, term) pairs that exist, so training is
 two aggregates and scoring is one join on term — no vocabulary × class
 product.  The terms' weights are joined as vectors, one row for each term and block of ``BLOCK``
 classes of which one has the term: with up to ``BLOCK`` classes the join has a row for each posting, with
-more, one for each posting and block, and not for each posting and class.  The class list is that of the labels and travels as one array value
+more, one for each posting and block, and not for each posting and class.  The weights of the ``SENT_TERMS`` terms
+with most hits are sent to every task: their postings are scored where they are read and leave as one partial
+row for each document; only postings of the other, rare terms are shuffled.  The class list is that of the labels and travels as one array value
 (a scalar sub-query); per document the argmax over it is a higher-order
 function, ties going to the lowest class.
 """
@@ -30,6 +32,8 @@ from .ordering import cut
 
 #: classes whose weights for a term stand in one row
 BLOCK = 8
+#: terms whose weights are sent to every task (as many rows of weights, also with several blocks)
+SENT_TERMS = 200_000
 
 
 @dataclass
@@ -51,7 +55,8 @@ def class_vectors(post: DataFrame, ct: DataFrame) -> DataFrame:
     block is ``BLOCK`` of them."""
     listed = ct.agg(F.array_sort(F.collect_set("class")).alias("c")).select(F.posexplode("c").alias("i", "class"))
     placed = ct.join(listed, "class").select("doc_id", F.floor(F.col("i") / BLOCK).cast("int").alias("block"), (F.col("i") % BLOCK).alias("at"))
-    hits = post.select("doc_id", "term").join(placed, "doc_id").groupBy("term", "block").agg(
+    # the documents of a partition make the hash table: postings are not sorted
+    hits = post.select("doc_id", "term").join(placed.hint("shuffle_hash"), "doc_id").groupBy("term", "block").agg(
         *[F.count(F.when(F.col("at") == k, 1)).alias(f"h{k}") for k in range(BLOCK)])
     return hits.select("term", "block", *[F.log(F.col(f"h{k}") + 1.0).alias(f"w{k}") for k in range(BLOCK)])
 
@@ -74,17 +79,31 @@ def nb_train(post: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     return NBModel(classes, class_terms, class_vectors(post, ct))
 
 
-def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str = "doc_id") -> DataFrame:
+def _partial_scores(post: DataFrame, vectors: DataFrame, sent: int) -> DataFrame:
+    """(doc_id, block, s0..): the sums of tf times weight of the documents' terms, for each block of classes."""
+    rows = post.select("doc_id", "term", "tf")
+    blocks = vectors.agg(F.coalesce(F.countDistinct("block"), F.lit(0))).first()[0]
+    heavy = vectors.groupBy("term").agg(F.sum(sum((F.col(f"w{k}") for k in range(BLOCK)), F.lit(0.0))).alias("w"))
+    top = cut(heavy.orderBy(F.desc("w"), "term").limit(max(1, sent // max(1, blocks))).select("term"))
+    near = rows.join(F.broadcast(vectors.join(F.broadcast(top), "term", "left_semi")), "term")
+    sums = [F.sum(F.col("tf") * F.col(f"w{k}")).alias(f"s{k}") for k in range(BLOCK)]
+    parts = near.groupBy("doc_id", "block").agg(*sums)
+    rare = cut(vectors.join(F.broadcast(top), "term", "left_anti"))
+    if not rare.isEmpty():
+        far = rows.join(F.broadcast(top), "term", "left_anti").join(rare, "term").groupBy("doc_id", "block").agg(*sums)
+        parts = parts.unionByName(far).groupBy("doc_id", "block").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(BLOCK)])
+    return parts
+
+
+def nb_classify(post: DataFrame, docs: DataFrame, model: NBModel, id_col: str = "doc_id", sent: int = SENT_TERMS) -> DataFrame:
     """(doc_id, predicted, score) for every document of ``docs`` (of which only the
-    ids are read: lengths are on the postings)."""
+    ids are read: lengths are on the postings).  Scores do not depend on ``sent`` but for the order of their sums."""
     cls = model.classes.select(F.array_sort(F.collect_list(
         F.struct("class", "log_prior", "log_den"))).alias("c")).scalar()
     target = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     vectors = cut(model.vectors)
-    partial = (post.select("doc_id", "term", "tf").join(target, "doc_id", "left_semi")
-               .join(vectors, "term").groupBy("doc_id", "block")
-               .agg(*[F.sum(F.col("tf") * F.col(f"w{k}")).alias(f"s{k}") for k in range(BLOCK)])
-               .groupBy("doc_id")  # a row for each block of classes
+    # documents that are not asked for leave with their sums, a row each, and not with their postings
+    partial = (_partial_scores(post, vectors, sent).groupBy("doc_id")  # a row for each block of classes
                .agg(F.map_from_entries(F.collect_list(F.struct("block", F.array(*[f"s{k}" for k in range(BLOCK)])))).alias("m")))
     lens = (target.join(post.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len")), "doc_id", "left")
             .select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len")))
