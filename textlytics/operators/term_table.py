@@ -26,13 +26,23 @@ from .ordering import cut
 #: documents for each part of a term, and rows of a bucket, about
 PART_ROWS = 20_000_000
 BUCKET_ROWS = 20_000_000
+#: characters of text for each posting, at the least: one of the term and one after it
+POSTING_CHARS = 2
 
 KEY = ("term", "part")
 
 
+def enough_buckets(docs: DataFrame, text_col: str = "text") -> int:
+    """Buckets for the postings of ``docs``, from the length of their texts: none gets more than ``BUCKET_ROWS`` rows on
+    average, and the postings need not be made and written once more to count them."""
+    chars = docs.agg(F.coalesce(F.sum(F.length(text_col).cast("long")), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (POSTING_CHARS * BUCKET_ROWS)))
+
+
 def save_term_table(post: DataFrame, n_docs: int, path: str, buckets: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """Write postings to ``path`` by term and open them.  ``n_docs`` sizes the parts, ``buckets`` (default: by the number
-    of postings, the session's shuffle partitions at least) the tasks that later read it."""
+    of postings, which are written once more to count them, the session's shuffle partitions at least; see
+    :func:`enough_buckets`) the tasks that later read it."""
     spark = post.sparkSession
     parts = max(1, -(-n_docs // part_rows))
     if buckets is None:
