@@ -196,6 +196,52 @@ def test_fingerprints_meet_with_the_stated_chance():
     assert (one[0] == a[5]).all() and one[1] == s[5]
 
 
+def test_lines_of_a_common_vocabulary_are_no_candidates(spark, tmp_path, monkeypatch):
+    r = random.Random(5)
+    parts = ["".join(r.choice("abcdefghij") for _ in range(2 + k % 3)) for k in range(24)]
+    lines = [" ".join("".join(r.choice(parts) for _ in range(1 + r.randrange(4))) for _ in range(30)) for _ in range(1200)]
+    near = [x[:40] + "#" + x[41:] for x in lines[:30]]
+    rows = numbered(stored(spark, tmp_path, ["\n".join(lines[i:i + 40]) for i in range(0, 1200, 40)] + near).select("doc_id", "text"))
+    asked, verifier = [], line_dedup._verifier
+
+    def counted(*args):
+        verify = verifier(*args)
+
+        def run(pairs):
+            asked.append(pairs.count())
+            return verify(pairs)
+        return run
+
+    monkeypatch.setattr(line_dedup, "_verifier", counted)
+    assert line_dedup.repeats(rows).count() == 30 and 30 <= sum(asked) < 120
+
+
+def test_candidates_of_buckets_cut_by_steps(monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Sorted:
+        schema = T.StructType([T.StructField(c, T.LongType()) for c in line_dedup._MEMBER])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    r = random.Random(4)
+    counts = [1, 2, 3, line_dedup.FEW, line_dedup.FEW + 1, 60, 1, 5, 40, 2]
+    bucket = np.repeat(np.arange(len(counts)), counts)
+    node = np.array(r.sample(range(1000), len(bucket)))
+    table = {c: np.zeros(len(bucket), np.int64) for c in line_dedup._MEMBER} | {"bucket": bucket, "node": node, "size": np.full(len(bucket), 50)}
+    want = {tuple(sorted((int(node[i]), int(node[j])))) for i in range(len(node)) for j in range(i)
+            if bucket[i] == bucket[j] and counts[bucket[i]] <= line_dedup.FEW}
+    large = {(int(b), int(n)) for b, n in zip(bucket, node) if counts[b] > line_dedup.FEW}
+    for rows, step in ((7, 20), (1, 1), (200, 1000), (3, 18)):
+        monkeypatch.setattr(line_dedup, "PASS_ROWS", step)
+        batches = pa.Table.from_pydict(table).to_batches(max_chunksize=rows)
+        got = [x for b in line_dedup._candidates(Sorted(), 0.9)(iter(batches)) for x in b.to_pylist()]
+        assert sorted((x["node"], x["other"]) for x in got if x["other"] is not None) == sorted(want)
+        assert sorted((x["bucket"], x["node"]) for x in got if x["other"] is None) == sorted(large)
+
+
 def test_lines_empty_table(spark, tmp_path):
     assert line_dedup.deduplicated(empty(spark, tmp_path)).collect() == []
 
