@@ -11,8 +11,8 @@ from hypothesis import strategies as st
 from llm_tables import empty, stored, words
 from pyspark.sql import functions as F
 
-from textlytics.llm import decontamination, groups, line_dedup, near_dedup, suffix_dedup
-from textlytics.llm.common import PrefixHash, bitmap, numbered, passes, shingle_hashes, word_hashes
+from textlytics.llm import decontamination, edits, groups, line_dedup, near_dedup, suffix_dedup
+from textlytics.llm.common import PrefixHash, bitmap, numbered, passes, passing, shingle_hashes, word_hashes, written
 
 
 def roots(nodes, links):
@@ -242,6 +242,77 @@ def test_candidates_of_buckets_cut_by_steps(monkeypatch):
         assert sorted((x["bucket"], x["node"]) for x in got if x["other"] is None) == sorted(large)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="abé\U0001F600 ", max_size=80), st.integers(0, 9**9)), min_size=1, max_size=12), st.sampled_from([0.5, 0.8, 0.9, 1.0]))
+def test_edit_distances_of_many_pairs(texts, least):
+    a, b = [], []
+    for x, seed in texts:
+        r, y = random.Random(seed), list(x)
+        for _ in range(r.randrange(9)):
+            y.insert(r.randrange(len(y) + 1), r.choice("abz")) if r.random() < 0.5 else y and y.pop(r.randrange(len(y)))
+        a.append(x)
+        b.append("".join(y))
+    want = [distance(x, y) <= int((1 - least) * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b)]
+    assert [line_dedup.edit_similar(x, y, least) for x, y in zip(a, b)] == want
+    assert edits.similar(a, b, least, line_dedup.edit_similar).tolist() == want
+    assert edits.similar(a * 60, b * 60, least, line_dedup.edit_similar).tolist() == want * 60
+    able = [i for i in range(len(a)) if abs(len(a[i]) - len(b[i])) <= (1 - least) * max(len(a[i]), len(b[i])) + 1e-9]
+    if able:
+        most = np.array([int((1 - least) * max(len(a[i]), len(b[i])) + 1e-9) for i in able])
+        assert edits._within([a[i] for i in able], [b[i] for i in able], most).tolist() == [want[i] for i in able]
+
+
+def test_edit_distance_of_long_lines():
+    a = words(3, 700)
+    for n, far in ((1, False), (5, False), (400, True)):
+        b = changed(a, n, n)
+        assert line_dedup.edit_similar(a, b, 0.9) == edits._within([a], [b], np.array([int(0.1 * max(len(a), len(b)))]))[0] == (not far)
+
+
+def test_lines_leave_no_table_and_few_texts_on_disk(spark, tmp_path, monkeypatch):
+    """Tables on the way go, and texts are shuffled for a few pairs at a time, with the same lines removed."""
+    import glob
+
+    texts = ["\n".join([words(i % 30, 20 + i % 30), changed(words(i % 30, 20 + i % 30), i, 1)]) for i in range(90)]
+    rows = numbered(stored(spark, tmp_path, texts).select("doc_id", "text"))
+    home = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    asked = []
+    for most in (1 << 18, 20):
+        monkeypatch.setattr(line_dedup, "VERIFIED", most)
+        before = set(glob.glob(f"{home}/llm/*"))
+        with passing(spark) as keep:
+            got = keep(written(line_dedup.repeats(rows), "repeats"))
+        left = set(glob.glob(f"{home}/llm/*")) - before
+        asked.append(sorted(map(tuple, got.collect())))
+        assert len(left) == 1 and next(iter(left)).rpartition("/")[2].startswith("repeats-")
+    assert asked[0] == asked[1] and len(asked[0]) > 60
+
+
+def test_components_on_the_driver_and_not(spark, monkeypatch):
+    r = random.Random(8)
+    links = [(r.randrange(200), r.randrange(200)) for _ in range(110)] + [(300 + i, 301 + i) for i in range(30)]
+    df = spark.createDataFrame(links, "a long, b long")
+    few = sorted(map(tuple, groups.components(df).collect()))
+    monkeypatch.setattr(groups, "FEW_LINKS", 0)
+    assert few == sorted(map(tuple, groups.components(df).collect()))
+
+
+def test_packed_members_are_those_of_buckets():
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    x = np.zeros(500, line_dedup._RECORD)
+    x["bucket"], x["node"] = r.integers(0, 200, 500), r.permutation(500)
+    part = (x["bucket"] % 7).astype(np.int32)
+    cut = [(p, x[k::3][part[k::3] == p].tobytes()) for p in range(7) for k in range(3)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([m for _, m in some], pa.binary())], names=["part", "members"])
+               for some in (cut[:5], cut[5:6], cut[6:])]
+    got = [(m["bucket"], m["node"]) for b in line_dedup._unpacked(iter(batches)) for m in b.to_pylist()]
+    count = Counter(x["bucket"].tolist())
+    assert sorted(got) == sorted((b, n) for b, n in zip(x["bucket"].tolist(), x["node"].tolist()) if count[b] > 1)
+    assert [b for p in range(7) for b in sorted(b for b, _ in got if b % 7 == p)] == [b for b, _ in got]
+
+
 def test_lines_empty_table(spark, tmp_path):
     assert line_dedup.deduplicated(empty(spark, tmp_path)).collect() == []
 
